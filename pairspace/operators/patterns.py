@@ -22,6 +22,9 @@ from .pairs import NOUN_TAGS
 MAX_TOKENS = 6
 MAX_SENTENCE = 30
 
+# a character of a word, in any script
+WORD = r"[\p{L}\p{N}_]"
+
 # annotation types whose number opens the gate, by tag
 SELECTIONS = {"COMMONNOUN": ("NN", "NNS"), "PROPERNOUN": ("NNP", "NNPS"), "NAMEDENTITY": ()}
 
@@ -176,8 +179,8 @@ def _render(df: DataFrame) -> DataFrame:
         F.expr("lemmas[x]").alias("lemma1"),
         F.expr("lemmas[y]").alias("lemma2"),
         # the words are quoted, and bounded by non-word characters
-        F.expr(r"concat('(?<!\\w)\\Q', words[x], '\\E(?!\\w)')").alias("re1"),
-        F.expr(r"concat('(?<!\\w)\\Q', words[y], '\\E(?!\\w)')").alias("re2"),
+        F.concat(F.lit(rf"(?<!{WORD})\Q"), F.expr("words[x]"), F.lit(rf"\E(?!{WORD})")).alias("re1"),
+        F.concat(F.lit(rf"(?<!{WORD})\Q"), F.expr("words[y]"), F.lit(rf"\E(?!{WORD})")).alias("re2"),
     )
     in_order = F.regexp_instr("line", "re1") < F.regexp_instr("line", "re2")
     return sets.select(
@@ -239,3 +242,110 @@ def _patterns(starts: DataFrame, target: str, max_tokens: int, wanted: str = "tr
         raise ValueError("max_tokens must be at least 3")
     paths = _walk(starts, target, max_tokens).filter(wanted).withColumn("y", F.col("y_end"))
     return _render(_with_conjunctions(_grow(paths, max_tokens), max_tokens))
+
+
+def _two_hits(corpus: DataFrame) -> DataFrame:
+    """Rows whose nouns match exactly two tokens by lemma, with their places ``x < y`` from 0."""
+    hits = "filter(transform(tokens, (t, i) -> if(t.lemma in (noun1, noun2), i, -1)), i -> i >= 0)"
+    found = with_column_once(corpus.select("noun1", "noun2", "text", "tokens"), "hits", F.expr(hits))
+    return found.filter(F.size("hits") == 2).withColumns({"x": F.expr("hits[0]"), "y": F.expr("hits[1]")}).drop("hits")
+
+
+def shortest_path_patterns(corpus: DataFrame) -> DataFrame:
+    """The words on the dependency path between the two nouns, ``X ... Y``.
+
+    A governor that holds the first noun by ``pobj`` and is not on the path
+    goes in front, a ``cc`` dependent of the first noun goes after ``X``.
+    Rows without path words and ``cc`` word are dropped. The path climbs from
+    both nouns to their lowest common ancestor.
+    """
+
+    def climb(start: str) -> str:
+        step = "array_append(up, element_at(heads, element_at(up, -1) + 1) - 1)"
+        more = "element_at(heads, element_at(up, -1) + 1) > 0"
+        return f"aggregate(heads, array({start}), (up, h) -> if({more}, {step}, up))"
+
+    climbed = with_column_once(
+        _two_hits(corpus).withColumn("heads", F.expr("transform(tokens, t -> t.head)")),
+        "up",
+        F.expr(f"named_struct('x', {climb('x')}, 'y', {climb('y')})"),
+    )
+    met = climbed.withColumn("top", F.expr("get(array_intersect(up.x, up.y), 0)")).filter(F.col("top").isNotNull())
+    parts = met.select(
+        "text",
+        "tokens",
+        "x",
+        "y",
+        F.expr(
+            """array_join(transform(
+                 array_except(
+                   concat(slice(up.x, 1, array_position(up.x, top)), reverse(slice(up.y, 1, array_position(up.y, top) - 1))),
+                   array(x, y)),
+                 i -> lower(replace(tokens[i].text, '\n', ' '))), ' ')"""
+        ).alias("path"),
+        F.expr("if(tokens[x].dep = 'pobj' and tokens[x].head > 0 and top = x, tokens[tokens[x].head - 1].text || ' ', '')").alias("before"),
+        F.expr(
+            "coalesce(try_element_at(transform(filter(tokens, t -> t.dep = 'cc' and t.head = x + 1), t -> t.text), -1), '')"
+        ).alias("after"),
+    )
+    both = (F.col("path") != "") & (F.col("after") != "")
+    return parts.filter((F.col("path") != "") | (F.col("after") != "")).select(
+        F.expr("tokens[x].lemma").alias("noun1"),
+        F.expr("tokens[y].lemma").alias("noun2"),
+        F.concat("before", F.lit("X "), "after", F.when(both, " ").otherwise(""), "path", F.lit(" Y")).alias("pattern"),
+        F.col("text").alias("sentence"),
+    )
+
+
+def span_patterns(corpus: DataFrame) -> DataFrame:
+    """The tokens between the two ends of a dependency, where they hold both nouns.
+
+    Spans of fewer than seven tokens come once more with adjectives and other
+    nouns as ``<adj>`` and ``<noun>``, spans of fewer than ten with those
+    taken out.
+    """
+    spans = (
+        _two_hits(corpus)
+        .withColumn("edge", F.explode(F.expr("filter(tokens, t -> t.head > 0)")))
+        .withColumns({"first": F.expr("least(edge.id, edge.head)"), "last": F.expr("greatest(edge.id, edge.head)")})
+        .filter("first <= x + 1 and last >= y + 1")
+    )
+    label = """transform(slice(tokens, first, last - first + 1), t -> case
+        when t.id = x + 1 then 'X' when t.id = y + 1 then 'Y' {rules} else lower(t.text) end)"""
+    told = spans.select(
+        F.expr("tokens[x].lemma").alias("noun1"),
+        F.expr("tokens[y].lemma").alias("noun2"),
+        F.expr("last - first + 1").alias("length"),
+        F.expr(f"array_join({label.format(rules='')}, ' ')").alias("plain"),
+        F.expr(
+            "array_join(%s, ' ')" % label.format(rules="when t.pos = 'JJ' then '<adj>' when t.pos like 'N%' then '<noun>'")
+        ).alias("abstract"),
+        F.col("text").alias("sentence"),
+    )
+    variants = F.expr(
+        """concat(array(plain),
+             if(length < 7, array(abstract), array()),
+             if(length < 10, array(replace(replace(abstract, '<noun>', ''), '<adj>', '')), array()))"""
+    )
+    return told.select("noun1", "noun2", F.explode(variants).alias("pattern"), "sentence")
+
+
+def entity_head(spans: DataFrame, parses: DataFrame) -> DataFrame:
+    """``(sid, span, head)``: the token of a span with most dependencies, the later one on a tie.
+
+    ``spans`` is ``(sid, span, first, last)`` in token ids. Tokens without a
+    dependency do not count; a span of such tokens gives no row.
+    """
+    ends = parses.select("sid", F.explode("tokens").alias("t")).filter("t.head > 0")
+    degrees = (
+        ends.select("sid", F.explode(F.array("t.id", "t.head")).alias("token"))
+        .groupBy("sid", "token")
+        .agg(F.count("*").alias("degree"))
+    )
+    inside = (F.col("token") >= F.col("first")) & (F.col("token") <= F.col("last"))
+    return (
+        spans.join(degrees, "sid")
+        .filter(inside)
+        .groupBy("sid", "span")
+        .agg(F.max_by("token", F.struct("degree", "token")).alias("head"))
+    )
