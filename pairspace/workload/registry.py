@@ -12,7 +12,7 @@ from .sql import with_views
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
+_SQL: dict[str, tuple[str, tuple[str, ...]]] = {}
 
 
 def query(name: str, *views: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -21,7 +21,7 @@ def query(name: str, *views: str, sql: str | None = None) -> Callable[[Query], Q
     def add(fn: Query) -> Query:
         QUERIES[name] = fn
         if sql is not None:
-            ORACLES[name] = with_views(sql, *views) if views else sql
+            _SQL[name] = (sql, views)
         return fn
 
     return add
@@ -31,3 +31,8 @@ def r6(col: str | Column, name: str | None = None) -> Column:
     """Rounded to six places, as the SQL side is."""
     column = F.col(col) if isinstance(col, str) else col
     return F.round(column, 6).alias(name or col)
+
+
+def oracles() -> dict[str, str]:
+    """The SQL of all queries that have one."""
+    return {name: with_views(sql, *views) if views else sql for name, (sql, views) in _SQL.items()}
