@@ -72,9 +72,8 @@ def subcorpus_pairs_counted(spark, sf):
       JOIN sents USING (sid) JOIN (SELECT sid, count(*) AS n_tokens FROM toks GROUP BY sid) USING (sid)""")
 def subcorpus_sentences(spark, sf):
     corpus = subcorpus(_stored_parses(spark, sf), v.wanted(spark, sf))
-    return corpus.groupBy("sid").agg(
-        F.first("text").alias("text"), F.count("*").alias("n_pairs"), F.max(F.size("tokens")).cast("bigint").alias("n_tokens")
-    )
+    measured = corpus.select("sid", "text", F.size("tokens").cast("bigint").alias("n_tokens"))
+    return measured.groupBy("sid", "text", "n_tokens").agg(F.count("*").alias("n_pairs"))
 
 
 @query("pair_sentences", "pairs", "wanted", "sents", sql="""

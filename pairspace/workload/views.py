@@ -36,11 +36,11 @@ def parses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def wanted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct noun pairs of the benchmark passages."""
+    """Distinct noun pairs of the benchmark passages, stored so that their size is known."""
     texts = split_sentences(table(spark, sf_dir, "benchmark"), "item_id").select(
         (F.col("item_id") * SENTENCES_PER_DOC + F.col("pos")).alias("sid"), "text"
     )
-    return noun_pairs(rule_annotate(texts)).select("noun1", "noun2").distinct()
+    return materialise(noun_pairs(rule_annotate(texts)).select("noun1", "noun2").distinct(), "wanted")
 
 
 def feats(spark: SparkSession, sf_dir: str) -> DataFrame:
