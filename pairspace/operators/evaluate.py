@@ -264,24 +264,19 @@ def twinless_adjustment(truth: DataFrame, pred: DataFrame) -> dict[str, DataFram
     they stand alone and become true singletons otherwise; for recall they
     are dropped.
     """
-    truth = truth.select("item", F.col("cluster").cast("string").alias("cluster"))
-    pred = pred.select("item", F.col("cluster").cast("string").alias("cluster"))
-    lost = truth.join(pred, "item", "left_anti").select(
-        "item", F.concat(F.lit("only true: "), F.col("item").cast("string")).alias("cluster")
-    )
-    known = pred.join(truth, "item", "left_semi")
-    extra = (
-        pred.join(truth, "item", "left_anti")
-        .join(cluster_sizes(pred), "cluster")
-        .filter(F.col("size") > 1)
-        .select("item", "cluster")
-    )
-    alone = extra.select("item", F.concat(F.lit("only predicted: "), F.col("item").cast("string")).alias("cluster"))
+    t = truth.select("item", F.col("cluster").cast("string").alias("t"))
+    sized = pred.join(cluster_sizes(pred), "cluster").select("item", F.col("cluster").cast("string").alias("p"), "size")
+    items = t.join(sized, "item", "full_outer")
+    has_t, has_p = F.col("t").isNotNull(), F.col("p").isNotNull()
+    only_true = F.concat(F.lit("only true: "), F.col("item").cast("string"))
+    only_pred = F.concat(F.lit("only predicted: "), F.col("item").cast("string"))
+    counted = items.filter(has_t | (F.col("size") > 1))
+    known = items.filter(has_t)
     return {
-        "p_truth": truth.unionByName(alone),
-        "p_pred": known.unionByName(extra).unionByName(lost),
-        "r_truth": truth,
-        "r_pred": known.unionByName(lost),
+        "p_truth": counted.select("item", F.when(has_t, F.col("t")).otherwise(only_pred).alias("cluster")),
+        "p_pred": counted.select("item", F.when(has_p, F.col("p")).otherwise(only_true).alias("cluster")),
+        "r_truth": t.withColumnRenamed("t", "cluster"),
+        "r_pred": known.select("item", F.when(has_p, F.col("p")).otherwise(only_true).alias("cluster")),
     }
 
 
