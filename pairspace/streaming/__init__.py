@@ -1,0 +1,7 @@
+"""Row-by-row operators on streams.
+
+There is no streaming operator of its own. Operators that work within one row
+(``split_sentences``, ``rule_annotate``, ``annotate``, ``sentence_patterns``,
+``subtree_patterns``, ``conll_parses``, ``pair_sentences``) are column
+expressions and explodes and take a streaming DataFrame as they are.
+"""

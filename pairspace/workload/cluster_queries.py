@@ -221,7 +221,7 @@ view("large_cells", "cells", "b_sizes", sql="SELECT t AS label, p AS cluster, n
 
 @query("label_cluster_coverage", "large_cells", "a_sizes", sql="""
     SELECT t AS label, a AS n_items, coalesce(m, 0) AS n_in_large, coalesce(c, 0) AS n_large_clusters FROM a_sizes
-    LEFT JOIN (SELECT label, sum(n) AS m, count(*) AS c FROM large_cells GROUP BY label) ON label = t""")
+    LEFT JOIN (SELECT label, sum(n)::BIGINT AS m, count(*) AS c FROM large_cells GROUP BY label) ON label = t""")
 def label_cluster_coverage(spark, sf):
     return ev.label_cluster_coverage(*_overlap(spark, sf), larger_than=20)
 
@@ -239,7 +239,7 @@ def _overlap(spark, sf):
     return labels, ev.predicted_overlap(pred.withColumnRenamed("item", "pair"), overlap)
 
 
-PRUNE = 300.0
+PRUNE = 10.0
 
 view("kept_sims", "ranked_sims", sql=f"""
     SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY l_pair ORDER BY pos) AS nth FROM ranked_sims)

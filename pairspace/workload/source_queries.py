@@ -156,7 +156,7 @@ def event_histogram(spark, sf):
       SELECT conv_id, turn, role, len(w) AS n FROM (
         SELECT conv_id, turn, role, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM conversations) WHERE len(w) > 0),
     spans AS (
-      SELECT conv_id, role, n, sum(n) OVER (PARTITION BY conv_id ORDER BY turn) AS stop FROM words)
+      SELECT conv_id, role, n, (sum(n) OVER (PARTITION BY conv_id ORDER BY turn))::BIGINT AS stop FROM words)
     SELECT conv_id AS doc, CASE role WHEN 'user' THEN '1' ELSE '2' END AS cluster, stop - n + 1 AS start, stop AS "end" FROM spans
     UNION ALL
     SELECT conv_id, '3', stop - n + 1, stop - n + 1 FROM spans WHERE n > 1""")

@@ -187,8 +187,8 @@ view(
 )
 view("t_sizes", "truth", sql="SELECT cluster AS t, count(*) AS t_size FROM truth GROUP BY cluster")
 view("p_sizes", "pred", sql="SELECT cluster AS p, count(*) AS p_size FROM pred GROUP BY cluster")
-view("a_sizes", "cells", sql="SELECT t, sum(n) AS a FROM cells GROUP BY t")
-view("b_sizes", "cells", sql="SELECT p, sum(n) AS b FROM cells GROUP BY p")
+view("a_sizes", "cells", sql="SELECT t, sum(n)::BIGINT AS a FROM cells GROUP BY t")
+view("b_sizes", "cells", sql="SELECT p, sum(n)::BIGINT AS b FROM cells GROUP BY p")
 
 view(
     "distances",
