@@ -43,7 +43,9 @@ def cosine_distances(
     length of a vector is attached to its entries before they are paired, so
     the pairs, by far the larger table, are shuffled once.
     """
-    entries = vectors.select(key, "idx", F.col(value).cast("double").alias("v"))
+    # the joins below infer these filters; alike everywhere, they let exchanges be reused
+    known = vectors.filter(F.col(key).isNotNull() & F.col("idx").isNotNull())
+    entries = known.select(key, "idx", F.col(value).cast("double").alias("v"))
     if drop_last_index:
         cardinality = entries.agg(F.count_distinct("idx")).scalar()
         entries = entries.withColumn("v", F.when(F.col("idx") >= cardinality, 0.0).otherwise(F.col("v")))
