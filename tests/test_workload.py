@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from pairspace.workload.registry import QUERIES, oracles
 
 SF_DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
@@ -36,7 +37,7 @@ def test_query_against_sql(spark, name):
 
 def test_registry():
     assert set(oracle_sql()) <= set(queries())
-    assert set(queries()) - set(oracle_sql()) == {"ceaf_mention", "ceaf_entity", "twinless_ceaf", "analogy_predict_cosine"}
+    assert set(QUERIES) - set(oracles()) == {"ceaf_mention", "ceaf_entity", "twinless_ceaf", "analogy_predict_cosine"}
 
 
 @needs_data
