@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprint, licenses, line_dedup
+from . import decontaminate, fingerprint, licenses, line_dedup, pieces, pii
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -87,3 +88,15 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_fingerprint")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edit_fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
+
+
+@query("op2_sentencepiece")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pieces.check_round_trip(docs, "text", public_tokenizers.path("piece_bpe_32k.model")).drop("text")
+
+
+@query("op9_personal_data")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.sanitise(docs, "text", rewrite=False).drop("text")
