@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprint, licenses, line_dedup, pieces, pii, toxicity
+from . import decontaminate, fingerprint, licenses, line_dedup, main_text, pieces, pii, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -108,3 +108,9 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"), "doc_id", "text", "toxic")
     scored = toxicity.score(docs, "text", model)
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+@query("op3_main_text")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return main_text.extract_main_text(pages, "html").drop("html")
