@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprint, licenses, line_dedup, main_text, pieces, pii, toxicity
+from . import decontaminate, fingerprint, jaccard_join, licenses, line_dedup, main_text, pieces, pii, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -114,3 +114,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return main_text.extract_main_text(pages, "html").drop("html")
+
+
+@query("op8_jaccard_join")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
