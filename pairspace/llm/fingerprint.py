@@ -127,60 +127,56 @@ def edit_fingerprints(docs: DataFrame, key: str, text: str) -> DataFrame:
     once by key, and the beginnings that go to the document before once more.
     """
     said = F.coalesce(col(text), F.lit(""))
-    rows = docs.select(col(key).alias("id"), F.xxhash64(said).alias("a"), said.alias("text"))
+    # one key that is never null, so that joins, windows and sums agree on how rows are divided
+    doc = F.struct(col(key).alias("id"), F.xxhash64(said).alias("a")).cast(f"struct<id:{dict(docs.dtypes)[key]},a:bigint>")
+    rows = docs.select(doc.alias("doc"), said.alias("text"))
     order = materialise(
-        rows.select("id", "a", F.length("text").cast("bigint").alias("n")).distinct()
-        .repartitionByRange("id", "a").withColumn("slice", F.spark_partition_id()),
+        rows.select("doc", F.length("text").cast("bigint").alias("n")).distinct()
+        .repartitionByRange("doc").withColumn("slice", F.spark_partition_id()),
         "fingerprint-order",
     )
-    doc = F.struct("id", "a", "n")
+    item = F.struct("doc", "n")
     # one row per slice, whatever the number of documents
-    ends = order.groupBy("slice").agg(F.max(doc).alias("last"))
+    ends = order.groupBy("slice").agg(F.max(item).alias("last"))
     by_slice = Window.orderBy("slice")
     final = F.last("last").over(by_slice.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     before = ends.select("slice", F.coalesce(F.lag("last").over(by_slice), final).alias("ended"))
-    in_slice = Window.partitionBy("slice").orderBy("id", "a")
-    placed = order.withColumn("lagged", F.lag(doc).over(in_slice)).join(F.broadcast(before), "slice")
-    placed = placed.select("id", "a", "n", F.coalesce("lagged", "ended").alias("prev"))
+    in_slice = Window.partitionBy("slice").orderBy("doc")
+    placed = order.withColumn("lagged", F.lag(item).over(in_slice)).join(F.broadcast(before), "slice")
+    placed = placed.select("doc", "n", F.coalesce("lagged", "ended").alias("prev"))
 
-    same = lambda x, y: F.col(f"{x}.id").eqNullSafe(F.col(f"{y}.id")) & (F.col(f"{x}.a") == F.col(f"{y}.a"))
-    base = rows.alias("r").join(placed.alias("p"), same("r", "p")).select("r.id", "r.a", "text", "n", "prev")
-    once = Window.partitionBy("id", "a").orderBy(F.lit(0))
+    base = rows.join(placed, "doc")
+    once = Window.partitionBy("doc").orderBy(F.lit(0))
     base = base.withColumn("copy", F.row_number().over(once)).filter("copy = 1").drop("copy")
     begun = base.select(
-        F.col("prev.id").alias("id"),
-        F.col("prev.a").alias("a"),
-        F.col("id").alias("next_id"),
-        F.col("a").alias("next_a"),
+        F.col("prev.doc").alias("doc"),
+        F.col("doc").alias("next"),
         F.substring("text", F.lit(1), (F.col("prev.n") / 2).cast("int")).alias("begun"),
     )
-    both = base.alias("b").join(begun.alias("g"), same("b", "g")).select("b.id", "b.a", "n", "text", "next_id", "next_a", "begun")
+    both = base.join(begun, "doc")
     half = (F.col("n") / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), (F.col("n") - half).cast("int")), "begun")
     both = both.select(
-        "id", "a", "n", "next_id", "next_a",
+        "doc", "n", "next",
         F.explode(F.array(F.struct(F.lit(0).alias("which"), "text"), F.struct(F.lit(1).alias("which"), edited.alias("text")))).alias("v"),
     )
     sha = F.when(F.col("v.which") == 1, F.sha2(F.encode("v.text", "UTF-8"), 256))
-    texts = both.select("id", "a", "n", "next_id", "next_a", F.col("v.which").alias("which"), sha.alias("sha"), F.col("v.text").alias("text"))
-    summed = fingerprint(texts, ["id", "a", "which", "n", "next_id", "next_a", "sha"], "text")
+    texts = both.select("doc", "n", "next", F.col("v.which").alias("which"), sha.alias("sha"), F.col("v.text").alias("text"))
+    summed = fingerprint(texts, ["doc", "which", "n", "next", "sha"], "text")
     pick = lambda which, value: F.first(F.when(F.col("which") == which, F.col(value)), ignorenulls=True)
     prints = materialise(
-        summed.groupBy("id", "a").agg(
-            F.max("n").alias("n"),
-            F.max("next_id").alias("next_id"),
-            F.max("next_a").alias("next_a"),
+        summed.groupBy("doc").agg(
+            F.first("n").alias("n"),
+            F.first("next").alias("next"),
             pick(1, "sha").alias("sha"),
             pick(0, "fingerprint").alias("own"),
             pick(1, "fingerprint").alias("edited"),
         ),
         "fingerprints",
     )
-    following = prints.select(F.col("id").alias("next_id"), F.col("a").alias("next_a"), F.col("own").alias("following"))
-    ahead = F.col("x.next_id").eqNullSafe(F.col("y.next_id")) & (F.col("x.next_a") == F.col("y.next_a"))
-    joined = prints.alias("x").join(following.alias("y"), ahead)
+    joined = prints.join(prints.select(F.col("doc").alias("next"), F.col("own").alias("following")), "next")
     return joined.select(
-        F.col("id").alias(key),
+        F.col("doc.id").alias(key),
         F.col("n").alias("n_chars"),
         F.col("sha").alias("edited_sha256"),
         as_text(F.col("own")).alias("fingerprint"),

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprint, jaccard_join, licenses, line_dedup, main_text, pieces, pii, toxicity
+from . import decontaminate, fingerprint, jaccard_join, licenses, line_dedup, main_text, pieces, pii, repeats, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -119,3 +119,9 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_jaccard_join")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
+
+
+@query("op7_suffix_repeats")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return repeats.find_repeats(docs, "doc_id", "text").drop("spans")
