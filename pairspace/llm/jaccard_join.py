@@ -110,7 +110,7 @@ SUMMARY = T.StructType().add("n", "long").add("d1", "long").add("d2", "long")
 
 def _summaries(docs: DataFrame, size: int, part: int, whole: int, with_prefix: bool) -> DataFrame:
     """``id, n, d1, d2`` (size and digest of the set) and, if asked for, ``prefix`` in the order of hashes."""
-    added = SUMMARY.add("prefix", T.ArrayType(T.LongType())) if with_prefix else SUMMARY
+    extra = [T.StructField("prefix", T.ArrayType(T.LongType()))] if with_prefix else []
 
     def start() -> Callable[..., list[list]]:
         def work(texts: list) -> list[list]:
@@ -124,7 +124,7 @@ def _summaries(docs: DataFrame, size: int, part: int, whole: int, with_prefix: b
 
         return work
 
-    return map_rows(docs, ["text"], T.StructType(list(added)), start, ["id"])
+    return map_rows(docs, ["text"], T.StructType([*SUMMARY, *extra]), start, ["id"])
 
 
 def spare(n: int) -> int:

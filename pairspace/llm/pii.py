@@ -209,7 +209,7 @@ def sanitise(
     """
     terms = materialise(revealing_terms(docs, text) if terms is None else terms, "pii-revealing")
     shares = max(1, -(-terms.count() // terms_at_once))
-    added = RESULT.add("clean_text", "string") if rewrite else RESULT
+    added = T.StructType([*RESULT, T.StructField("clean_text", T.StringType())]) if rewrite else RESULT
     docs = docs.drop("_terms").withColumn("_terms", F.lit(None).cast("array<string>"))
     kept = [c for c in docs.columns if c != "_terms"]
     for i in range(shares):
