@@ -1,7 +1,7 @@
 """Order-independent document fingerprints by a homomorphic multiset hash [native].
 
 The fingerprint of a text is a sum of wide vectors hashed from its paragraphs,
-modulo 2**32 in each place, so paragraphs can be added or taken out
+modulo 2**31 in each place, so paragraphs can be added or taken out
 without the rest of the text and in any order. A vector has two parts:
 
 * ``digest``: places hashed from the whole paragraph; they decide equality;
@@ -27,7 +27,7 @@ LANES = 64 * LANE_HASHES
 # two counters of 32 bits in each sum
 TWO_BITS = 0x1_0000_0001
 LOW = 0xFFFF_FFFF
-PLACE = 1 << 32
+PLACE = 1 << 31
 # a word and up to two that follow it, from each word on
 PIECE = r"(?<!\S)(?=(\S+(?:\s+\S+){0,2}))"
 
@@ -61,10 +61,10 @@ def fingerprint(texts: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
         for s in range(32)
     ]
     sums = hashed.groupBy(*keys).agg(*halves, *counters, F.count("_h0").alias("_pieces"))
-    zero = F.lit(0).cast("bigint")
-    digest = [F.coalesce(F.pmod(F.col(f"_d{i}{side}"), F.lit(PLACE)), zero) for i in range(DIGEST_HASHES) for side in "ab"]
+    place = lambda c: F.coalesce(F.pmod(c, F.lit(PLACE)), F.lit(0)).cast("int")
+    digest = [place(F.col(f"_d{i}{side}")) for i in range(DIGEST_HASHES) for side in "ab"]
     lanes = [
-        F.coalesce(lane, zero)
+        place(lane)
         for i in range(LANE_HASHES)
         for s in range(32)
         for lane in (F.col(f"_c{i}_{s}").bitwiseAND(F.lit(LOW)), F.shiftrightunsigned(F.col(f"_c{i}_{s}"), 32))
@@ -78,7 +78,7 @@ def add(one: Column, other: Column, sign: int = 1) -> Column:
     """The fingerprint after inserting (``sign=1``) or deleting (``-1``) the paragraphs of ``other``."""
 
     def places(name: str) -> Column:
-        return F.zip_with(one[name], other[name], lambda x, y: F.pmod(x + y * sign, F.lit(PLACE)))
+        return F.zip_with(one[name], other[name], lambda x, y: F.pmod(x.cast("bigint") + y * sign, F.lit(PLACE)).cast("int"))
 
     return F.struct(
         places("digest").alias("digest"),
@@ -94,7 +94,7 @@ def likeness(one: Column, other: Column) -> Column:
     """
 
     def projected(x: Column) -> Column:
-        return F.transform(x["lanes"], lambda c: (c * 2 - x["pieces"]).cast("double"))
+        return F.transform(x["lanes"], lambda c: c.cast("double") * 2 - x["pieces"])
 
     def dot(x: Column, y: Column) -> Column:
         return F.aggregate(F.zip_with(x, y, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
@@ -107,7 +107,7 @@ def likeness(one: Column, other: Column) -> Column:
 
 def as_text(print_: Column) -> Column:
     """The fingerprint as hex digits, eight for each place."""
-    places = F.concat(print_["digest"], print_["lanes"], F.array(print_["pieces"]))
+    places = F.concat(print_["digest"], print_["lanes"], F.array(print_["pieces"].cast("int")))
     return F.array_join(F.transform(places, lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")), "")
 
 
