@@ -1,10 +1,10 @@
 """Dependency patterns between two nouns.
 
 Everything here works inside one sentence, without a shuffle and without
-Python. A set of tokens is a 64-bit integer with one bit per token (bit ``i``
-is token ``i + 1``). Paths and token sets are rows that one ``explode`` per
-step lengthens; those steps use plain arithmetic only, so Spark compiles the
-whole walk into one generated loop.
+Python. A set of tokens is a short array of token places (from 0), as long as
+a pattern may be, so sentences can have any length. Paths and token sets are
+rows that one ``explode`` per step lengthens; only neighbours of what is
+there already are ever formed.
 
 The heads of a sentence must form a forest, as every dependency parse does.
 """
@@ -20,13 +20,17 @@ from ..plans.once import with_column_once
 from .pairs import NOUN_TAGS
 
 MAX_TOKENS = 6
-MAX_SENTENCE = 30
 
 # a character of a word, in any script
 WORD = r"[\p{L}\p{N}_]"
 
-# annotation types whose number opens the gate, by tag
-SELECTIONS = {"COMMONNOUN": ("NN", "NNS"), "PROPERNOUN": ("NNP", "NNPS"), "NAMEDENTITY": ()}
+# what is counted to open the gate: tokens by tag, or the spans of column ``entities``
+SELECTIONS = {
+    "NOUN": "size(filter(tokens, t -> t.pos like 'N%')) >= 2",
+    "COMMONNOUN": "size(filter(tokens, t -> t.pos in ('NN', 'NNS'))) >= 2",
+    "PROPERNOUN": "size(filter(tokens, t -> t.pos in ('NNP', 'NNPS'))) >= 2",
+    "NAMEDENTITY": "size(entities) >= 2",
+}
 
 
 def _in_sql_list(values: Sequence[str]) -> str:
@@ -34,54 +38,64 @@ def _in_sql_list(values: Sequence[str]) -> str:
 
 
 def sentence_graph(
-    parses: DataFrame, selection: str, max_sentence: int, nouns: Sequence[str] = NOUN_TAGS, keep: Sequence[str] = ()
+    parses: DataFrame, selection: str, nouns: Sequence[str] = NOUN_TAGS, keep: Sequence[str] = ()
 ) -> DataFrame:
     """The sentence's graph, for sentences that can give a pattern.
 
-    ``nbrs[i]`` lists the neighbours of token ``i``, ``adj[i]`` is the same as
-    a set, ``open_ids`` are the tokens that may stand inside a pattern besides
-    the two nouns (no ``N*`` tag, no full stop), and ``conj`` holds for each
-    ``conj`` edge its two ends and the ``and`` tokens between them.
+    ``nbrs[i]`` lists the neighbours of token ``i``, ``near[i]`` those of them
+    that may stand inside a pattern besides the two nouns (no ``N*`` tag, no full stop;
+    ``is_open``), and ``conj`` holds for each ``conj`` edge its two ends and the ``and`` tokens
+    between them. Selection ``NAMEDENTITY`` counts the spans in an array column ``entities``.
     """
     if selection not in SELECTIONS:
         raise ValueError(f"selection must be one of {sorted(SELECTIONS)}")
-    if not 2 < max_sentence <= 62:
-        raise ValueError("max_sentence must be between 3 and 62")
-    tags = SELECTIONS[selection]
-    gate = f"size(filter(tokens, t -> t.pos in {_in_sql_list(tags)})) >= 2" if tags else "false"
-    passing = parses.filter(f"size(tokens) <= {max_sentence} and {gate}")
-    listed = passing.select(
+    if selection == "NAMEDENTITY" and "entities" not in parses.columns:
+        raise ValueError("selection NAMEDENTITY needs an array column entities")
+    listed = parses.filter(SELECTIONS[selection]).select(
         *keep,
         "text",
         F.expr("transform(tokens, t -> lower(replace(t.text, '\n', ' ')))").alias("words"),
         F.expr("transform(tokens, t -> t.lemma)").alias("lemmas"),
-        F.expr("transform(tokens, t -> t.head)").alias("heads"),
         F.expr(f"transform(filter(tokens, t -> t.pos in {_in_sql_list(nouns)}), t -> t.id - 1)").alias("noun_ids"),
+        F.expr(f"transform(tokens, t -> t.pos in {_in_sql_list(nouns)})").alias("is_noun"),
         F.expr("transform(filter(tokens, t -> t.text = 'and'), t -> t.id - 1)").alias("and_ids"),
-        F.expr("transform(filter(tokens, t -> t.pos not like 'N%' and t.text != '.'), t -> t.id - 1)").alias("open_ids"),
+        F.expr("transform(tokens, t -> t.pos not like 'N%' and t.text != '.')").alias("is_open"),
         F.expr(
             """transform(filter(tokens, t -> t.dep = 'conj' and t.head > 0), t -> named_struct(
-                 'ends', (1L << (t.id - 1)) | (1L << (t.head - 1)),
-                 'ands', aggregate(
+                 'ends', array(t.id - 1, t.head - 1),
+                 'ands', transform(
                     filter(tokens, o -> o.text = 'and' and o.id > least(t.id, t.head) and o.id < greatest(t.id, t.head)),
-                    0L, (acc, o) -> acc | (1L << (o.id - 1)))))"""
+                    o -> o.id - 1)))"""
         ).alias("conj"),
-    ).withColumn(
+        # both directions of every edge, in the order of where they start
+        F.expr(
+            """sort_array(array_distinct(flatten(transform(tokens, (t, i) ->
+                 if(t.head between 1 and size(tokens) and t.head != i + 1,
+                    array(named_struct('u', i, 'v', t.head - 1), named_struct('u', t.head - 1, 'v', i)),
+                    array())))))"""
+        ).alias("edges"),
+    )
+    # lists that lambdas below read must not be computed once more for each token
+    starts = with_column_once(
+        listed, "e", F.expr("named_struct('us', edges.u, 'vs', edges.v, 'back', reverse(edges.u))")
+    ).select(*[c for c in listed.columns if c != "edges"], "e.*")
+    # the edges that start at a token stand together
+    spread = starts.withColumn(
         "nbrs",
         F.expr(
-            """transform(heads, (h, i) -> filter(
-                 transform(heads, (g, j) -> if(j != i and (g = i + 1 or h = j + 1), j, -1)), v -> v >= 0))"""
+            """transform(words, (w, i) -> if(array_contains(us, i),
+                 slice(vs, cast(array_position(us, i) as int),
+                       cast(size(us) - array_position(back, i) + 2 - array_position(us, i) as int)),
+                 slice(vs, 1, 0)))"""
         ),
     )
-    graph = listed.withColumns(
+    graph = spread.withColumns(
         {
-            "adj": F.expr("transform(nbrs, ns -> aggregate(ns, 0L, (acc, v) -> acc | (1L << v)))"),
-            "open": F.expr("aggregate(open_ids, 0L, (acc, v) -> acc | (1L << v))"),
-            "nouns": F.expr("aggregate(noun_ids, 0L, (acc, v) -> acc | (1L << v))"),
+            "near": F.expr("transform(nbrs, ns -> filter(ns, v -> is_open[v]))"),
             # a token without any edge lets the two nouns alone pass the size test
             "smallest": F.expr("if(exists(nbrs, ns -> size(ns) = 0), 2, 3)"),
         }
-    ).drop("heads")
+    ).drop("us", "vs", "back")
     made = [c for c in graph.columns if c not in (*keep, "text")]
     return with_column_once(graph.select(*keep, "text", *made), "g", F.struct(*made)).select(*keep, "text", "g.*")
 
@@ -89,21 +103,20 @@ def sentence_graph(
 def _walk(df: DataFrame, target: str, max_tokens: int) -> DataFrame:
     """Paths from token ``x`` over open tokens to a target token ``y``.
 
-    ``target`` is SQL text that tests a token number, given as ``{}``. Adds
-    ``mask``, the tokens of the path, and ``halo``, all their neighbours.
+    ``target`` is SQL text that tests a token place, given as ``{}``. Adds
+    ``mask``, the tokens of the path, and ``y_end``, its end.
     """
-    df = df.withColumns({"mask": F.expr("1L << x"), "last": F.col("x"), "halo": F.expr("adj[x]"), "there": F.lit(False)})
+    df = df.withColumns({"mask": F.expr("array(x)"), "last": F.col("x"), "there": F.lit(False)})
     hit = target.format("v")
     for _ in range(max_tokens - 1):
         df = (
             df.withColumn("v", F.explode(F.expr("if(there, array(-1), nbrs[last])")))
-            .filter(f"there or (((mask >> v) & 1L) = 0 and (((open >> v) & 1L) = 1 or {hit}))")
+            .filter(f"there or (not array_contains(mask, v) and (is_open[v] or {hit}))")
             .withColumns(
                 {
-                    "mask": F.expr("if(there, mask, mask | (1L << v))"),
-                    "halo": F.expr("if(there, halo, halo | adj[v])"),
+                    "mask": F.expr("if(there, mask, array_append(mask, v))"),
                     "last": F.expr("if(there, last, v)"),
-                    "there": F.expr(f"there or {hit}"),
+                    "there": F.expr(f"there or ({hit})"),
                 }
             )
         )
@@ -113,58 +126,55 @@ def _walk(df: DataFrame, target: str, max_tokens: int) -> DataFrame:
 def _grow(df: DataFrame, max_tokens: int) -> DataFrame:
     """Every connected token set around the path, one row per ``mask``.
 
-    Each round keeps a set as it is (``v = -1``) and adds one open neighbour
-    to it. Neighbours that an earlier branch has taken are shut for the later
-    ones, which makes every superset of a path appear exactly once.
+    Each round keeps a set as it is (``v = -1``) or adds one token of its rim.
+    The tokens before it in the rim are shut for that branch, and what it brings to the rim is
+    new, since there are no cycles: so every superset of a path appears exactly once.
     """
-    df = df.withColumns({"rim": F.expr("halo & open & ~mask"), "shut": F.lit(0).cast("bigint"), "whole": F.lit(False)})
+    df = df.withColumns(
+        {"rim": F.expr("array_except(flatten(transform(mask, i -> near[i])), mask)"), "whole": F.lit(False)}
+    )
     for _ in range(max_tokens - 2):
         df = (
-            df.withColumn("v", F.explode(F.expr("if(whole, array(-1), concat(array(-1), open_ids))")))
-            .filter(f"v = -1 or (((rim >> v) & 1L) = 1 and bit_count(mask) < {max_tokens})")
-            .withColumns(
-                {
-                    "bit": F.expr("if(v = -1, 0L, 1L << v)"),
-                    "passed": F.expr("if(v = -1, 0L, rim & ((1L << v) - 1L))"),
-                    "reach": F.expr("if(v = -1, 0L, adj[v] & open)"),
-                    "whole": F.expr("v = -1"),
-                }
+            df.select(
+                "*",
+                F.posexplode(F.expr(f"if(whole or size(mask) >= {max_tokens}, array(-1), concat(array(-1), rim))")).alias("at", "v"),
             )
             .withColumns(
                 {
-                    "mask": F.expr("mask | bit"),
-                    "shut": F.expr("shut | passed"),
-                    "rim": F.expr("(rim | reach) & ~(mask | bit | shut | passed)"),
+                    "rim": F.expr("if(v = -1, rim, concat(slice(rim, at + 1, size(rim)), array_except(near[v], mask)))"),
+                    "mask": F.expr("if(v = -1, mask, array_append(mask, v))"),
+                    "whole": F.expr("v = -1"),
                 }
             )
+            .drop("at", "v")
         )
-    return df.filter("bit_count(mask) >= smallest").drop("v", "bit", "passed", "reach", "whole", "rim", "shut", "halo")
+    return df.filter("size(mask) >= smallest").drop("whole", "rim")
 
 
 def _with_conjunctions(df: DataFrame, max_tokens: int) -> DataFrame:
     """Add the ``and`` tokens of ``conj`` edges and test the sets once more.
 
     Several sets can become the same set by it. Of all sets that do, only the
-    largest number is kept: the rivals of a row are the full set without some
+    one whose last tokens come latest is kept: the rivals of a row are the full set without some
     of its ``and`` tokens, as far as they are connected (in a forest: one edge
     less than tokens) and small enough. Sentences without ``conj`` skip this.
     """
 
     def closed(mask: str) -> str:
-        return f"aggregate(conj, {mask}, (acc, c) -> if(({mask} & c.ends) = c.ends, acc | c.ands, acc))"
+        return f"""sort_array(aggregate(conj, {mask}, (acc, c) ->
+            if(size(array_except(c.ends, {mask})) = 0, array_union(acc, c.ands), acc)))"""
 
-    edges = """aggregate(sequence(0, size(adj) - 1), 0, (acc, i) ->
-                 acc + if(((({c}) >> i) & 1L) = 1, bit_count(adj[i] & ({c})), 0)) div 2"""
-    rival = "(full & ~s)"
+    inner = "filter(and_ids, i -> array_contains(full, i) and i not in (x, y))"
+    edges = "aggregate(r, 0, (acc, i) -> acc + size(array_intersect(nbrs[i], r))) div 2"
     beaten = f"""size(conj) > 0 and exists(
         aggregate(
-          filter(and_ids, i -> ((full >> i) & 1L) = 1 and i not in (x, y)),
-          array(0L), (acc, i) -> concat(acc, transform(acc, s -> s | (1L << i)))),
-        s -> {rival} > mask and bit_count({rival}) between smallest and {max_tokens}
-             and {closed(rival)} = full and {edges.format(c=rival)} = bit_count({rival}) - 1)"""
+          {inner}, array(array_except(full, {inner})),
+          (acc, i) -> concat(acc, transform(filter(acc, r -> size(r) < {max_tokens}), r -> array_append(r, i)))),
+        r -> sort_array(r, false) > sort_array(mask, false) and size(r) between smallest and {max_tokens}
+             and {closed("r")} = full and {edges} = size(r) - 1)"""
     return (
-        df.withColumn("full", F.expr(f"if(size(conj) = 0, mask, {closed('mask')})"))
-        .filter("bit_count(full) >= 3 and (full & ~(open | (1L << x) | (1L << y))) = 0")
+        df.withColumn("full", F.expr(f"if(size(conj) = 0, sort_array(mask), {closed('mask')})"))
+        .filter("size(full) >= 3 and (size(conj) = 0 or forall(full, i -> i in (x, y) or is_open[i]))")
         .filter(f"not ({beaten})")
         .drop("mask")
         .withColumnRenamed("full", "mask")
@@ -172,13 +182,15 @@ def _with_conjunctions(df: DataFrame, max_tokens: int) -> DataFrame:
 
 
 def _render(df: DataFrame) -> DataFrame:
-    """One feature row per mask, with the two nouns replaced by X and Y."""
+    """One feature row per mask, with the two nouns replaced by X and Y.
+
+    The words are quoted, and bounded by non-word characters.
+    """
     sets = df.select(
         "text",
-        F.expr("array_join(filter(words, (w, i) -> ((mask >> i) & 1L) = 1), ' ')").alias("line"),
+        F.expr("array_join(transform(mask, i -> words[i]), ' ')").alias("line"),
         F.expr("lemmas[x]").alias("lemma1"),
         F.expr("lemmas[y]").alias("lemma2"),
-        # the words are quoted, and bounded by non-word characters
         F.concat(F.lit(rf"(?<!{WORD})\Q"), F.expr("words[x]"), F.lit(rf"\E(?!{WORD})")).alias("re1"),
         F.concat(F.lit(rf"(?<!{WORD})\Q"), F.expr("words[y]"), F.lit(rf"\E(?!{WORD})")).alias("re2"),
     )
@@ -193,12 +205,7 @@ def _render(df: DataFrame) -> DataFrame:
     )
 
 
-def subtree_patterns(
-    corpus: DataFrame,
-    selection: str = "COMMONNOUN",
-    max_tokens: int = MAX_TOKENS,
-    max_sentence: int = MAX_SENTENCE,
-) -> DataFrame:
+def subtree_patterns(corpus: DataFrame, selection: str = "NOUN", max_tokens: int = MAX_TOKENS) -> DataFrame:
     """Every connected token set of 3 to ``max_tokens`` tokens that holds both nouns.
 
     ``corpus`` is ``(noun1, noun2, text, tokens)``, one row per pair and
@@ -206,20 +213,16 @@ def subtree_patterns(
     noun and no full stop may be inside. Returns feature rows
     ``(noun1, noun2, pattern, sentence)``.
     """
-    graph = sentence_graph(corpus.filter("noun1 is not null and noun2 is not null"), selection, max_sentence, keep=["noun1", "noun2"])
-    matched = graph.withColumn(
-        "hits", F.expr("filter(transform(lemmas, (l, i) -> if(l in (noun1, noun2), i, -1)), i -> i >= 0)")
-    ).filter(F.size("hits") == 2)
-    ends = matched.withColumns({"x": F.expr("hits[0]"), "y": F.expr("hits[1]")})
-    return _patterns(ends, "{} = y", max_tokens)
+    hits = "filter(transform(tokens, (t, i) -> if(t.lemma in (noun1, noun2), i, -1)), i -> i >= 0)"
+    # most rows end here, before the costly graph
+    paired = with_column_once(corpus.filter("noun1 is not null and noun2 is not null"), "hits", F.expr(hits))
+    graph = sentence_graph(paired.filter(F.size("hits") == 2), selection, keep=["noun1", "noun2", "hits"])
+    ends = graph.withColumns({"x": F.expr("hits[0]"), "y": F.expr("hits[1]")})
+    return _patterns(ends, "v = y", max_tokens)
 
 
 def sentence_patterns(
-    parses: DataFrame,
-    selection: str = "COMMONNOUN",
-    max_tokens: int = MAX_TOKENS,
-    max_sentence: int = MAX_SENTENCE,
-    tags: Sequence[str] = NOUN_TAGS,
+    parses: DataFrame, selection: str = "NOUN", max_tokens: int = MAX_TOKENS, tags: Sequence[str] = NOUN_TAGS
 ) -> DataFrame:
     """:func:`subtree_patterns` for all noun pairs of each sentence.
 
@@ -227,14 +230,12 @@ def sentence_patterns(
     connects are never formed. Gives the rows that pairing all nouns first
     would give.
     """
-    starts = sentence_graph(parses, selection, max_sentence, tags)
+    starts = sentence_graph(parses, selection, tags)
     # a lemma counts only in lower case, and may not occur a third time
     pair_once = """y_end > x and lower(lemmas[x]) = lemmas[x] and lower(lemmas[y_end]) = lemmas[y_end]
         and (size(lemmas) - size(array_remove(lemmas, lemmas[x])))
             + if(lemmas[x] = lemmas[y_end], 0, size(lemmas) - size(array_remove(lemmas, lemmas[y_end]))) = 2"""
-    return _patterns(
-        starts.withColumn("x", F.explode("noun_ids")), "((nouns >> {}) & 1L) = 1", max_tokens, pair_once
-    )
+    return _patterns(starts.withColumn("x", F.explode("noun_ids")), "is_noun[v]", max_tokens, pair_once)
 
 
 def _patterns(starts: DataFrame, target: str, max_tokens: int, wanted: str = "true") -> DataFrame:

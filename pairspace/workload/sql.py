@@ -92,7 +92,7 @@ view(
              OVER (PARTITION BY sid ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS noun_before,
            coalesce(min(CASE WHEN pos IN ('NN', 'NNS') THEN id END)
              OVER (PARTITION BY sid ORDER BY id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), n + 1) AS noun_after
-    FROM toks WHERE n <= 30""",
+    FROM toks""",
 )
 view(
     "windows",
@@ -170,14 +170,12 @@ scores_view("star_scores", "star")
 scores_view("star_scores_separate", "star", pooled=False)
 
 
-def _last_order(status: str) -> str:
-    return f"""
-    SELECT o_custkey AS item, max_by(o_orderpriority || ' ' || year(o_orderdate), o_orderkey) AS cluster
-    FROM orders WHERE o_orderstatus = '{status}' GROUP BY o_custkey"""
-
-
-view("truth", sql=_last_order("F"))
-view("pred", sql=_last_order("O"))
+view("truth", sql="SELECT o_orderkey AS item, 'c' || o_custkey AS cluster FROM orders WHERE o_orderstatus IN ('F', 'P')")
+view(
+    "pred",
+    sql="""SELECT o_orderkey AS item, o_orderpriority || ' ' || strftime(o_orderdate, '%Y-%m') AS cluster
+           FROM orders WHERE o_orderstatus IN ('O', 'P')""",
+)
 view(
     "cells",
     "truth",

@@ -82,22 +82,16 @@ def bought(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers by priority and year of their last finished order."""
-    return _last_order(spark, sf_dir, "F")
+    """Finished and partly finished orders by their customer."""
+    orders = table(spark, sf_dir, "orders").filter(F.col("o_orderstatus").isin("F", "P"))
+    return orders.select(F.col("o_orderkey").alias("item"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("cluster"))
 
 
 def pred(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers by priority and year of their last open order."""
-    return _last_order(spark, sf_dir, "O")
-
-
-def _last_order(spark: SparkSession, sf_dir: str, status: str) -> DataFrame:
-    return (
-        table(spark, sf_dir, "orders")
-        .filter(F.col("o_orderstatus") == status)
-        .groupBy(F.col("o_custkey").alias("item"))
-        .agg(F.max_by(F.concat_ws(" ", "o_orderpriority", F.year("o_orderdate").cast("string")), "o_orderkey").alias("cluster"))
-    )
+    """Open and partly finished orders by their priority and month."""
+    orders = table(spark, sf_dir, "orders").filter(F.col("o_orderstatus").isin("O", "P"))
+    month = F.date_format("o_orderdate", "yyyy-MM")
+    return orders.select(F.col("o_orderkey").alias("item"), F.concat_ws(" ", "o_orderpriority", month).alias("cluster"))
 
 
 def letters(column) -> object:

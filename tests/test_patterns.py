@@ -3,7 +3,9 @@ import random
 import re
 from collections import Counter
 
+import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 
 from pairspace.operators.annotate import TOKEN_SCHEMA, annotate, dedup_sentences, rule_annotate, split_sentences
 from pairspace.operators.pairs import filter_thesaurus, noun_pairs, subcorpus
@@ -66,16 +68,38 @@ def test_conjunction_adds_and_once(spark):
 
 def test_gates(spark):
     one_noun = [(1, "dog", "dog", "NN", 2, "SBJ"), (2, "ran", "run", "VBD", 0, "ROOT"), (3, "off", "off", "RP", 2, "P")]
-    long = [(i, f"w{i}", f"w{i}", "JJ", i + 1, "m") for i in range(1, 30)] + [
-        (30, "dog", "dog", "NN", 31, "m"), (31, "cat", "cat", "NN", 0, "ROOT")
-    ]
     capital = [t if t[0] != 2 else (2, "Dog", "Dog", "NN", 3, "SBJ") for t in DOG]
     thrice = DOG[:6] + [(7, "dog", "dog", "NN", 3, "OBJ")]
     df = paired(
-        spark, ("dog", "cat", one_noun), ("dog", "cat", long), ("dog", "cat", capital), ("dog", "cat", thrice)
+        spark, ("dog", "cat", one_noun), ("dog", "cat", capital), ("dog", "cat", thrice)
     )
     assert patterns(subtree_patterns(df)) == []
-    assert patterns(subtree_patterns(paired(spark, ("dog", "cat", DOG)), selection="NAMEDENTITY")) == []
+
+
+def test_selections(spark):
+    df = paired(spark, ("dog", "cat", DOG))
+    eight = patterns(subtree_patterns(df))
+    assert len(eight) == 8
+    assert patterns(subtree_patterns(df, selection="COMMONNOUN")) == eight
+    assert patterns(subtree_patterns(df, selection="PROPERNOUN")) == []
+    with pytest.raises(ValueError):
+        subtree_patterns(df, selection="NAMEDENTITY")
+    spans = F.array(F.struct(F.lit(2).alias("first"), F.lit(2).alias("last")), F.struct(F.lit(6).alias("first"), F.lit(6).alias("last")))
+    assert patterns(subtree_patterns(df.withColumn("entities", spans), selection="NAMEDENTITY")) == eight
+    assert patterns(subtree_patterns(df.withColumn("entities", F.slice(spans, 1, 1)), selection="NAMEDENTITY")) == []
+
+
+def test_long_sentence_is_read_whole(spark):
+    """500 tokens with branches; all sets are within five steps of the pair, where brute force can look."""
+    at = 300
+    tokens = [(i, f"w{i}", f"w{i}", "JJ", i - 1 if i % 3 else max(0, i - 2), "m") for i in range(1, 501)]
+    tokens[at] = (at + 1, "dog", "dog", "NN", at, "SBJ")
+    tokens[at + 2] = (at + 3, "cat", "cat", "NN", at + 2, "OBJ")
+    near = [t for t in tokens if abs(t[0] - at) <= 14]
+    ids = {t[0] for t in near}
+    cut = [t if t[4] in ids else (*t[:4], 0, t[5]) for t in near]
+    got = Counter(r.pattern for r in subtree_patterns(paired(spark, ("dog", "cat", tokens)), max_tokens=5).collect())
+    assert got == brute_force(cut, "dog", "cat", max_tokens=5) and sum(got.values()) > 5
 
 
 def test_words_are_quoted(spark):
