@@ -32,6 +32,17 @@ def unpack(df: DataFrame, row: str, fields: Sequence[str], **replaced: Column) -
     return [replaced[f] if f in replaced else F.col(row).getField(f).alias(f) for f in fields]
 
 
+ROWS_AT_ONCE, BYTES_AT_ONCE = 1_000, 8_000_000
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Cut batches so that few bytes are worked on at once, however long the rows are."""
+    for batch in batches:
+        rows = min(ROWS_AT_ONCE, max(1, batch.num_rows * BYTES_AT_ONCE // max(1, batch.nbytes)))
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def map_rows(
     df: DataFrame,
     inputs: Sequence[str],
@@ -53,7 +64,7 @@ def map_rows(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = start()
         types = to_arrow_schema(added)
-        for batch in batches:
+        for batch in _slices(batches):
             columns = batch.columns
             given = []
             for c in columns[width:]:
