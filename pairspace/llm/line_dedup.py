@@ -31,11 +31,11 @@ def boilerplate_lines(
     """
     base = pages.select(col(site).cast("string").alias("site"), col(text).alias("text"))
     totals = base.groupBy("site").agg(F.count("*").alias("pages"))
-    lines = base.select("site", F.explode(F.array_distinct(F.split("text", "\n"))).alias("line"))
+    # lines that differ only at their ends are one line of the page
+    lines = base.select("site", F.explode(F.array_distinct(F.transform(F.split("text", "\n"), lambda x: F.trim(x)))).alias("line"))
     first, second = _keys(F.col("line"))
     counts = (
-        lines.filter(F.trim("line") != "")
-        # lines that differ only at their ends are one line of the page
+        lines.filter("line <> ''")
         .groupBy("site", first.alias("a"), second.alias("b"))
         .agg(F.count("*").alias("n"))
         .filter(F.col("n") >= min_pages)
