@@ -9,13 +9,13 @@ OFFSET_BLOCK = 64
 
 # Sentence end, the mark that joins the token lines of a
 # sentence, and the lines that carry no token.
-SENTENCE_CLOSE = "</s>\n"
+SENTENCE_CLOSE = "</s>"
 TOKEN_MARK = "\t:::::\t"
 MARKUP_LINE = r'^(<text id="ukwac:.*|<s>|</text>|</s>)?$'
 
 
 def read_vertical(spark: SparkSession, path: str) -> DataFrame:
-    """One row per sentence of a vertical file, split at the closing tag while reading."""
+    """One row per sentence of a vertical file, split at the closing tag while reading; lines may end in either way."""
     return vertical_to_sentences(spark.read.option("lineSep", SENTENCE_CLOSE).text(path))
 
 

@@ -22,18 +22,33 @@ def unquote(value: Column) -> Column:
 
 
 def json_bag(text: Column) -> Column:
-    """The elements of a JSON array as text; arrays inside it are merged into the one bag."""
-    items = F.from_json(text, "array<string>")
+    """The elements of a JSON array as text; arrays inside it, however deep, are merged into the one bag."""
 
     def inner(item: Column) -> Column:
-        return F.when(item.startswith("["), F.from_json(item, "array<string>")).otherwise(F.array(item))
+        # a string may begin like an array without being one
+        return F.when(item.startswith("["), F.coalesce(F.from_json(item, "array<string>"), F.array(item))).otherwise(F.array(item))
 
-    return F.transform(F.flatten(F.transform(items, inner)), unquote)
+    def level(items: Column, _: Column) -> Column:
+        return F.when(F.exists(items, lambda x: x.startswith("[")), F.flatten(F.transform(items, inner))).otherwise(items)
 
+    # no array is nested deeper than there are brackets
+    depth = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - F.length(F.replace(text, F.lit("["), F.lit("")))))
+    return F.transform(F.aggregate(depth, F.from_json(text, "array<string>"), level), unquote)
 
-def parse_json_lines(lines: DataFrame, col: str = "value") -> DataFrame:
-    """Add ``json``, the line as a map; blank lines give no row."""
-    return lines.filter(F.trim(col) != "").withColumn("json", json_map(F.col(col)))
+
+def parse_json_lines(lines: DataFrame, col: str = "value", malformed: str = "raise") -> DataFrame:
+    """Add ``json``, the line as a map; blank lines give no row.
+
+    A malformed line is an error; with ``malformed="null"`` its map is null.
+    """
+    if malformed not in ("raise", "null"):
+        raise ValueError("malformed must be raise or null")
+    said = lines.filter(F.trim(col) != "")
+    read = json_map(F.col(col))
+    if malformed == "raise":
+        bad = F.concat(F.lit("malformed JSON line: "), F.substring(F.col(col), 1, 200))
+        read = F.when(F.from_json(F.col(col), MAP).isNull(), F.raise_error(bad).cast(MAP)).otherwise(read)
+    return said.withColumn("json", read)
 
 
 def read_json_lines(spark: SparkSession, path: str) -> DataFrame:

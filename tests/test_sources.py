@@ -57,6 +57,21 @@ def test_json(spark):
     r = got.select("json", json_map(F.col("json")["d"]).alias("d"), json_bag(F.col("json")["g"]).alias("g")).first()
     assert (r.json["a"], r.json["b"], r.json["c"]) == ("x", "1", None)
     assert r.d == {"e": "f"} and r.g == ["1", "2", "3"]
+    deep = spark.createDataFrame([("[1,[2,[3,[4,[]]]]]",), ('["[x","{y",[["z"]]]',), ("[]",), (None,)], "v string")
+    assert [r.g for r in deep.select(json_bag(F.col("v")).alias("g")).collect()] == [["1", "2", "3", "4"], ["[x", "{y", "z"], [], None]
+    broken = spark.createDataFrame([('{"a": ',)], "value string")
+    assert parse_json_lines(broken, malformed="null").first().json is None
+    with pytest.raises(Exception, match="malformed JSON line"):
+        parse_json_lines(broken).collect()
+
+
+def test_vertical_corpus_with_other_line_ends(spark, tmp_path):
+    lines = ["<text id=\"ukwac:x\">", "<s>", "a\tb", "</s>", "<s>", "c\td", "e\tf", "</s>", "</text>", ""]
+    found = []
+    for name, end in (("unix", b"\n"), ("dos", b"\r\n")):
+        (tmp_path / name).write_bytes(end.join(x.encode() for x in lines))
+        found.append(rows(corpus.read_vertical(spark, str(tmp_path / name))))
+    assert found[0] == found[1] and len(found[0]) == 2
 
 
 def test_matrix_market(spark, tmp_path):
