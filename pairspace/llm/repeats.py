@@ -108,26 +108,40 @@ def _common(a: bytes, b: bytes) -> int:
     return n - (differ.bit_length() + 7) // 8
 
 
-def previous_factors(keys: list[bytes], ahead: bool = False) -> list[int]:
-    """For each position the length of the longest prefix of its key that a key at an earlier position starts with.
+def previous_and_next_factors(keys: list[bytes]) -> tuple[list[int], list[int]]:
+    """For each position the longest prefix of its key that a key at an earlier position starts with, and at a later one.
 
-    With ``ahead``, at a later position. The positions are put in the order of their keys (a suffix array to the depth of
-    the keys); a stack finds the previous and the next smaller position in that order, with the least common
-    prefix on the way to them, and the longer of the two is the answer.
+    The positions are put in the order of their keys (a suffix array to the depth of the keys) with the common
+    prefixes of neighbours. A stack finds the previous and the next smaller (or larger) position in that order,
+    with the least common prefix on the way to them, and the longer of the two is the answer.
     """
     order = sorted(range(len(keys)), key=keys.__getitem__)
-    rank = [-p for p in order] if ahead else order
-    out = [0] * len(keys)
+    shared = [0] * len(order)
+    for i in range(1, len(order)):
+        shared[i] = _common(keys[order[i - 1]], keys[order[i]])
+    return _factors(order, order, shared), _factors(order, [-p for p in order], shared)
+
+
+def _factors(order: list[int], rank: list[int], shared: list[int]) -> list[int]:
+    out = [0] * len(order)
     # positions that still wait for their next smaller one, and the common prefix with the one below
-    stack: list[list[int]] = []
-    for i, p in enumerate(order):
-        common = _common(keys[order[i - 1]], keys[p]) if i else 0
-        while stack and rank[i] < stack[-1][0]:
-            _, at, below = stack.pop()
-            out[at] = max(out[at], common)
-            common = min(common, below)
-        out[p] = common if stack else 0
-        stack.append([rank[i], p, common])
+    ranks: list[int] = []
+    waiting: list[int] = []
+    below: list[int] = []
+    for p, r, common in zip(order, rank, shared, strict=True):
+        while ranks and r < ranks[-1]:
+            ranks.pop()
+            at = waiting.pop()
+            if common > out[at]:
+                out[at] = common
+            under = below.pop()
+            if under < common:
+                common = under
+        if ranks:
+            out[p] = common
+        ranks.append(r)
+        waiting.append(p)
+        below.append(common)
     return out
 
 
@@ -216,9 +230,10 @@ def _compare_suffixes(length: int, keep_first: bool) -> Callable[[pd.DataFrame],
             for data, run in zip(group["data"], group["run"], strict=True):
                 data = bytes(data)
                 keys += [data[i : i + length] for i in range(run)]
-            flags = np.array(previous_factors(keys)) >= length
+            before, after = previous_and_next_factors(keys)
+            flags = np.array(before) >= length
             if not keep_first:
-                flags |= np.array(previous_factors(keys, ahead=True)) >= length
+                flags |= np.array(after) >= length
             at = 0
             for digest, run in zip(group["digest"], group["run"], strict=True):
                 runs = _runs(flags[at : at + run])

@@ -194,7 +194,7 @@ def test_longest_previous_factors():
         keys = [s[i:] for i in range(len(s))]
         brute = [max((repeats._common(s[j:], s[i:]) for j in range(i)), default=0) for i in range(len(s))]
         later = [max((repeats._common(s[j:], s[i:]) for j in range(i + 1, len(s))), default=0) for i in range(len(s))]
-        assert repeats.previous_factors(keys) == brute and repeats.previous_factors(keys, ahead=True) == later
+        assert repeats.previous_and_next_factors(keys) == (brute, later)
 
 
 def test_repeats_empty(spark):
