@@ -240,10 +240,12 @@ def _overlap(spark, sf):
 
 
 PRUNE = 10.0
+# a top-k feature of the operator: so many rows of each pair
+NEIGHBOURS = 51
 
 view("kept_sims", "ranked_sims", sql=f"""
     SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY l_pair ORDER BY pos) AS nth FROM ranked_sims)
-    WHERE nth <= 51 AND similarity >= {PRUNE} AND NOT regexp_matches(l_pair, '[^a-zA-Z:@]')
+    WHERE nth <= {NEIGHBOURS} AND similarity >= {PRUNE} AND NOT regexp_matches(l_pair, '[^a-zA-Z:@]')
       AND NOT regexp_matches(r_pair, '[^a-zA-Z:@]') AND l_pair <> r_pair""")
 view("pair_ids", "kept_sims", sql="""
     SELECT row_number() OVER (ORDER BY min(place)) AS id, pair FROM (
@@ -252,7 +254,7 @@ view("pair_ids", "kept_sims", sql="""
 
 def _ids(spark, sf):
     sims = prep.with_positions(v.sims(spark, sf))
-    return sims, prep.pair_ids(prep.kept_similarities(sims, PRUNE))
+    return sims, prep.pair_ids(prep.kept_similarities(sims, PRUNE, NEIGHBOURS))
 
 
 @query("pair_ids", "pair_ids", sql="SELECT id, pair FROM pair_ids")
