@@ -154,7 +154,7 @@ def _candidates(docs: DataFrame, size: int, part: int, whole: int) -> tuple[Data
 
 
 def _shared_tokens(docs: DataFrame, chosen: DataFrame, size: int) -> DataFrame:
-    """``cid, n, s, tokens, dfs``: of each candidate the tokens that others have too, rare ones first."""
+    """``cid, n, s, tokens, dfs, common``: of each candidate the tokens that others have too, rare ones first."""
 
     def start() -> Callable[..., list[list]]:
         def work(texts: list) -> list[list]:
@@ -173,11 +173,12 @@ def _shared_tokens(docs: DataFrame, chosen: DataFrame, size: int) -> DataFrame:
     counts = tokens.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
     counted = tokens.join(counts, "token").groupBy("cid", "n").agg(F.sort_array(F.collect_set(F.struct("df", "token"))).alias("t"))
     counted = counted.select("cid", "n", F.size("t").cast("bigint").alias("s"), F.col("t.token").alias("tokens"), F.col("t.df").alias("dfs"))
-    return counted
+    # how common the tokens of a set are: the original of a group of copies has the most common ones
+    return counted.withColumn("common", F.aggregate("dfs", F.lit(0.0), lambda a, x: a + x) / F.col("n"))
 
 
 def _indices(candidates: DataFrame, part: int, whole: int) -> DataFrame:
-    """``sig, cid, n, s``: rare tokens of the extended prefixes, and pairs of frequent ones of one class."""
+    """``sig, cid, n, s, common``: rare tokens of the extended prefixes, and pairs of frequent ones of one class."""
 
     def start() -> Callable[..., list[list]]:
         def indices(n: int, s: int, tokens: np.ndarray, dfs: np.ndarray) -> np.ndarray:
@@ -213,8 +214,8 @@ def _indices(candidates: DataFrame, part: int, whole: int) -> DataFrame:
         return work
 
     added = T.StructType().add("sigs", T.ArrayType(T.LongType()))
-    made = map_rows(candidates, ["n", "s", "tokens", "dfs"], added, start, ["cid", "n", "s"])
-    return made.select(F.explode("sigs").alias("sig"), "cid", "n", "s")
+    made = map_rows(candidates, ["n", "s", "tokens", "dfs"], added, start, ["cid", "n", "s", "common"])
+    return made.select(F.explode("sigs").alias("sig"), "cid", "n", "s", "common")
 
 
 def _possible(a: str, b: str, part: int, whole: int) -> Column:
@@ -236,7 +237,7 @@ def _verified(pairs: DataFrame, candidates: DataFrame, part: int, whole: int) ->
 def _links(candidates: DataFrame, part: int, whole: int) -> DataFrame:
     """Links ``a, b`` that connect exactly the similar candidates (not all of their pairs)."""
     entries = _indices(candidates, part, whole)
-    central = F.struct((F.col("s") / F.col("n")).alias("share"), (-F.col("cid")).alias("order"), "cid", "n", "s")
+    central = F.struct("common", (-F.col("cid")).alias("order"), "cid", "n", "s")
     heads = entries.groupBy("sig").agg(F.count("*").alias("k"), F.max(central).alias("head")).filter("k > 1")
     entries = materialise(entries.join(heads.select("sig", "head"), "sig"), "jaccard-entries")
     flat = entries.select("sig", "cid", "n", "s", F.col("head.cid").alias("head"), F.col("head.n").alias("head_n"), F.col("head.s").alias("head_s"))
