@@ -178,7 +178,7 @@ def _shared_tokens(docs: DataFrame, chosen: DataFrame, size: int) -> DataFrame:
 
 
 def _indices(candidates: DataFrame, part: int, whole: int) -> DataFrame:
-    """``sig, cid, n, s, common``: rare tokens of the extended prefixes, and pairs of frequent ones of one class."""
+    """``sig, cid, n, s, common, bits``: rare tokens of the extended prefixes, and pairs of frequent ones of one class."""
 
     def start() -> Callable[..., list[list]]:
         def indices(n: int, s: int, tokens: np.ndarray, dfs: np.ndarray) -> np.ndarray:
@@ -205,23 +205,34 @@ def _indices(candidates: DataFrame, part: int, whole: int) -> DataFrame:
                         found.append(_mix(_mix(often[:-d][same] ^ tag) + often[d:][same]))
             return np.unique(np.concatenate(found)) if found else np.empty(0, np.uint64)
 
+        def parities(tokens: np.ndarray) -> list[int]:
+            """Of each of 256 places whether an odd number of tokens falls there, as four integers."""
+            odd = np.bincount((_mix(tokens) % np.uint64(256)).astype(np.int64), minlength=256) & 1
+            return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
         def work(n: list, s: list, tokens: list, dfs: list) -> list[list]:
-            return [[
-                indices(a, b, np.array(c, np.int64).view(np.uint64), np.array(d, np.int64)).view(np.int64)
-                for a, b, c, d in zip(n, s, tokens, dfs, strict=True)
-            ]]
+            tokens = [np.array(c, np.int64).view(np.uint64) for c in tokens]
+            sigs = [
+                indices(a, b, c, np.array(d, np.int64)).view(np.int64) for a, b, c, d in zip(n, s, tokens, dfs, strict=True)
+            ]
+            return [sigs, [parities(c) for c in tokens]]
 
         return work
 
-    added = T.StructType().add("sigs", T.ArrayType(T.LongType()))
+    longs = T.ArrayType(T.LongType())
+    added = T.StructType().add("sigs", longs).add("bits", longs)
     made = map_rows(candidates, ["n", "s", "tokens", "dfs"], added, start, ["cid", "n", "s", "common"])
-    return made.select(F.explode("sigs").alias("sig"), "cid", "n", "s", "common")
+    return made.select(F.explode("sigs").alias("sig"), "cid", "n", "s", "common", "bits")
+
 
+def _possible(one: dict[str, str], other: dict[str, str], part: int, whole: int) -> Column:
+    """Whether two sets can have enough tokens in common.
 
-def _possible(a: str, b: str, part: int, whole: int) -> Column:
-    """Whether sizes and numbers of shared tokens leave room for enough common ones."""
-    n, m, s, t = F.col(f"{a}.n"), F.col(f"{b}.n"), F.col(f"{a}.s"), F.col(f"{b}.s")
-    common = F.least(s, t)
+    Each place where the parities of their shared tokens differ stands for a token that only one of them has.
+    """
+    n, m, s, t = F.col(one["n"]), F.col(other["n"]), F.col(one["s"]), F.col(other["s"])
+    differ = sum((F.bit_count(F.col(one["bits"])[i].bitwiseXOR(F.col(other["bits"])[i])) for i in range(4)), F.lit(0))
+    common = F.least(s, t, F.floor((s + t - differ) / 2))
     return common * (part + whole) >= (n + m) * part
 
 
@@ -237,13 +248,12 @@ def _verified(pairs: DataFrame, candidates: DataFrame, part: int, whole: int) ->
 def _links(candidates: DataFrame, part: int, whole: int) -> DataFrame:
     """Links ``a, b`` that connect exactly the similar candidates (not all of their pairs)."""
     entries = _indices(candidates, part, whole)
-    central = F.struct("common", (-F.col("cid")).alias("order"), "cid", "n", "s")
+    central = F.struct("common", (-F.col("cid")).alias("order"), "cid", "n", "s", "bits")
     heads = entries.groupBy("sig").agg(F.count("*").alias("k"), F.max(central).alias("head")).filter("k > 1")
     entries = materialise(entries.join(heads.select("sig", "head"), "sig"), "jaccard-entries")
-    flat = entries.select("sig", "cid", "n", "s", F.col("head.cid").alias("head"), F.col("head.n").alias("head_n"), F.col("head.s").alias("head_s"))
-    first = flat.filter("cid <> head").filter(
-        F.least("s", "head_s") * (part + whole) >= (F.col("n") + F.col("head_n")) * part
-    )
+    flat = entries.select("sig", "cid", "n", "s", "bits", F.col("head.cid").alias("head"), F.col("head").alias("h"))
+    own, heads_own = ({k: f"{of}{k}" for k in ("n", "s", "bits")} for of in ("", "h."))
+    first = flat.filter("cid <> head").filter(_possible(own, heads_own, part, whole))
     first = first.select(F.least("cid", "head").alias("a"), F.greatest("cid", "head").alias("b")).distinct()
     tested = materialise(first, "jaccard-pairs")
     links = materialise(_verified(tested, candidates, part, whole), "jaccard-links")
@@ -252,11 +262,12 @@ def _links(candidates: DataFrame, part: int, whole: int) -> DataFrame:
     named = flat.join(label.withColumnRenamed("node", "cid"), "cid", "left").withColumn("of", F.coalesce("component", "cid"))
     head_of = label.select(F.col("node").alias("head"), F.col("component").alias("head_component"))
     named = named.join(head_of, "head", "left").withColumn("head_of", F.coalesce("head_component", "head"))
-    named = materialise(named.select("sig", "cid", "n", "s", "of", "head_of"), "jaccard-named")
+    named = materialise(named.select("sig", "cid", "n", "s", "bits", "of", "head_of"), "jaccard-named")
     # where all of an entry are of the head's component nothing is left
     apart = named.filter("of <> head_of")
     rest = apart.alias("x").join(named.alias("y"), F.col("x.sig") == F.col("y.sig"))
-    rest = rest.filter((F.col("x.of") != F.col("y.of")) & _possible("x", "y", part, whole))
+    left, right = ({k: f"{of}.{k}" for k in ("n", "s", "bits")} for of in "xy")
+    rest = rest.filter((F.col("x.of") != F.col("y.of")) & _possible(left, right, part, whole))
     rest = rest.select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")).distinct()
     rest = rest.join(tested, ["a", "b"], "left_anti")
     return links.unionByName(materialise(_verified(rest, candidates, part, whole), "jaccard-links"))
