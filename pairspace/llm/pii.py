@@ -4,6 +4,7 @@ Entities (mail addresses, IP addresses, card and phone numbers) are found by
 patterns. A term near an entity may give it away without being one itself. How
 strongly term t discloses entity c is the information t gives about c, relative to all there is:
 ``log2(P(c, t) / (P(c) P(t))) / -log2 P(c)``, estimated from all texts; 1 means that t never occurs without c.
+Identical contexts weigh once in all three, and P(c, t) is discounted by the chance that all contexts of a pair are accidents.
 Terms at or over ``generalise_at`` are replaced by the kind of what they reveal, from ``remove_at`` on they are removed.
 """
 
@@ -11,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Callable
 
@@ -24,7 +26,8 @@ from .rows import col, map_rows
 
 KINDS = ("email", "ip", "card", "phone", "term")
 NEAR = 5
-MIN_CONTEXTS = 3
+# how likely a single context is an accident; k different ones all are with the k-th power
+CHANCE = 2 / 3
 GENERALISE_AT = 0.9
 REMOVE_AT = 0.97
 # terms of one pass; more are looked for in several passes
@@ -41,6 +44,8 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 NO_DIGIT = re.compile("[^0-9]")
 TERM = re.compile(r"[^\W\d_]{3,}")
+# kinds of rows that count a term's occurrences
+NEARBY, WITHIN = -1, -2
 
 Span = tuple[int, int, int]
 
@@ -103,19 +108,52 @@ def short_hash(value: str) -> int:
     return int.from_bytes(hashlib.blake2b(value.encode(), digest_size=8).digest(), "little", signed=True)
 
 
+def free_terms(text: str, spans: list[Span]) -> tuple[list[tuple[int, str]], list[str]]:
+    """``(start, term)`` of the terms that touch no entity, and the terms that do."""
+    covered: list[list[int]] = []
+    for a, b, _ in spans:
+        if covered and a <= covered[-1][1]:
+            covered[-1][1] = max(covered[-1][1], b)
+        else:
+            covered.append([a, b])
+    free, inside, i = [], [], 0
+    for m in TERM.finditer(text):
+        a, b = m.span()
+        while i < len(covered) and covered[i][1] <= a:
+            i += 1
+        if i < len(covered) and covered[i][0] < b:
+            inside.append(m.group().lower())
+        else:
+            free.append((a, m.group().lower()))
+    return free, inside
+
+
 def contexts(text: str, near: int) -> list[tuple[str, int, int, int]]:
-    """``(term, entity, kind, context)`` for every term within ``near`` terms of an entity."""
+    """``(term, entity, kind, context)`` for every term within ``near`` terms of an entity.
+
+    The context of a term is that of all entities it is near to. Kind ``NEARBY`` stands for one occurrence of the term near any entities,
+    kind ``WITHIN`` for one inside an entity.
+    """
     spans = base_spans(text)
-    out = []
+    if not spans:
+        return []
+    free, inside = free_terms(text, spans)
+    starts = [a for a, _ in free]
+    out = [(t, 0, WITHIN, 0) for t in inside]
+    around: dict[int, set[tuple[int, int, int]]] = {}
     for a, b, k in spans:
-        # far enough for the terms, and bounded
-        before = text[max(0, a - 40 * near) : a].lower()
-        after = text[b : b + 40 * near].lower()
-        terms = TERM.findall(before)[-near:] + TERM.findall(after)[:near]
+        first, last = max(0, bisect_left(starts, a) - near), bisect_left(starts, b) + near
+        terms = [t for _, t in free[first:last]]
         value = text[a:b].lower() if k == 0 else NO_DIGIT.sub("", text[a:b]) if k > 1 else text[a:b]
         entity, place = short_hash(f"{KINDS[k]}:{value}"), short_hash(" ".join(terms))
         # the empty term stands for the occurrence itself
-        out += [(t, entity, k, place) for t in {"", *terms}]
+        out.append(("", entity, k, place))
+        for i in range(first, first + len(terms)):
+            around.setdefault(i, set()).add((entity, k, place))
+    for i, every in around.items():
+        term, place = free[i][1], short_hash(repr(sorted(every)))
+        out += [(term, entity, k, place) for entity, k in {(e, k) for e, k, _ in every}]
+        out.append((term, 0, NEARBY, place))
     return out
 
 
@@ -124,12 +162,14 @@ COUNT = T.StructType().add("term", "string").add("n", "long")
 
 
 def revealing_terms(
-    docs: DataFrame, text: str, near: int = NEAR, min_contexts: int = MIN_CONTEXTS, generalise_at: float = GENERALISE_AT
+    docs: DataFrame, text: str, near: int = NEAR, chance: float = CHANCE, generalise_at: float = GENERALISE_AT
 ) -> DataFrame:
     """``term, kind, disclosure`` of the terms that disclose an entity at or over ``generalise_at``.
 
-    All texts count. A term needs ``min_contexts`` different contexts with the same entity, so that copies of
-    one passage are no evidence. Terms are runs of three or more letters in lower case; an entity is a value, not a kind.
+    All texts count. Identical contexts (the terms within ``near`` terms, and the entity) weigh once, so that copies of one
+    passage are no evidence; occurrences far from any entity weigh one each, those inside an entity nothing. A term
+    needs no number of contexts: the joint count k of term and entity is taken as ``k * (1 - chance ** k)``.
+    Terms are runs of three or more letters in lower case; an entity is a value, not a kind.
     ``kind`` is that of the most strongly disclosed entity (of equals the first of ``KINDS``).
     """
     texts = docs.select(col(text).alias("text"))
@@ -143,16 +183,13 @@ def revealing_terms(
 
     seen = map_rows(texts, ["text"], T.StructType().add("pairs", T.ArrayType(PAIR)), start_pairs, [])
     seen = seen.select(F.explode("pairs").alias("p")).select("p.*")
+    seen = materialise(seen.groupBy("term", "entity", "kind", "place").agg(F.count("*").alias("n")), "pii-contexts")
     entities = seen.filter("term = ''").groupBy("entity").agg(F.count("*").alias("n_entity"))
-    pairs = (
-        seen.filter("term <> ''")
-        .groupBy("term", "entity", "kind", "place")
-        .agg(F.count("*").alias("n"))
-        .groupBy("term", "entity", "kind")
-        .agg(F.sum("n").alias("joint"), F.count("*").alias("places"))
-        .filter(F.col("places") >= min_contexts)
-    )
+    pairs = seen.filter("term <> '' and kind >= 0").groupBy("term", "entity", "kind").agg(F.count("*").alias("joint"))
     pairs = materialise(pairs.join(entities, "entity"), "pii-pairs")
+    # what all occurrences of a term count too much
+    surplus = F.sum(F.when(F.col("kind") == NEARBY, F.col("n") - 1).otherwise(F.col("n"))).alias("surplus")
+    surpluses = seen.filter("kind < 0").groupBy("term").agg(surplus)
 
     def start_counts() -> Callable[..., list[list]]:
         def work(batch: list) -> list[list]:
@@ -161,9 +198,12 @@ def revealing_terms(
                 counts: Counter[str] = Counter()
                 for t in batch[i : i + ROWS_COUNTED]:
                     if t is not None:
-                        counts.update(TERM.findall(t.decode().lower()))
+                        counts.update(TERM.findall(t.decode()))
+                lower: Counter[str] = Counter()
+                for w, n in counts.items():
+                    lower[w.lower()] += n
                 # one row carries the counts of several; the sum of all words goes under the empty term
-                said = [{"term": w, "n": n} for w, n in counts.items()] + [{"term": "", "n": counts.total()}]
+                said = [{"term": w, "n": n} for w, n in lower.items()] + [{"term": "", "n": counts.total()}]
                 out += [said] + [[] for _ in batch[i + 1 : i + ROWS_COUNTED]]
             return [out]
 
@@ -172,12 +212,14 @@ def revealing_terms(
     counts = map_rows(texts, ["text"], T.StructType().add("counts", T.ArrayType(COUNT)), start_counts, [])
     counts = counts.select(F.explode("counts").alias("c")).select("c.*")
     wanted = pairs.select("term").distinct().unionByName(docs.sparkSession.createDataFrame([("",)], "term string"))
-    totals = materialise(counts.join(wanted, "term", "left_semi").groupBy("term").agg(F.sum("n").alias("n")), "pii-terms")
-    # a scalar of one row
+    totals = materialise(counts.groupBy("term").agg(F.sum("n").alias("n")).join(wanted, "term", "left_semi"), "pii-terms")
+    # scalars of one row
     words = totals.filter("term = ''").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("words")).collect()[0]["words"]
+    words -= surpluses.agg(F.coalesce(F.sum("surplus"), F.lit(0)).alias("words")).collect()[0]["words"]
     information = -F.log2(F.col("n_entity") / F.lit(max(words, 1)))
-    disclosed = (information + F.log2(F.least(F.lit(1.0), F.col("joint") / F.col("n")))) / information
-    scored = pairs.join(totals, "term").withColumn("disclosure", F.when(information > 0, disclosed).otherwise(F.lit(0.0)))
+    joint = F.col("joint") * (1 - F.pow(F.lit(chance), F.col("joint")))
+    disclosed = (information + F.log2(F.least(F.lit(1.0), joint / (F.col("n") - F.col("surplus"))))) / information
+    scored = pairs.join(totals, "term").join(surpluses, "term").withColumn("disclosure", F.when(information > 0, disclosed).otherwise(F.lit(0.0)))
     best = F.max(F.struct("disclosure", (-F.col("kind")).alias("kind")))
     return (
         scored.filter(F.col("disclosure") >= generalise_at)

@@ -1,10 +1,12 @@
 """Operators that work row by row, against brute force and on the odd cases."""
 
 import hashlib
+import os
 import random
 import re
 
 import public_tokenizers
+import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
@@ -138,6 +140,27 @@ def test_revealing_terms(spark):
     assert pii.sanitise(texts(spark).filter("id < 0"), "text").count() == 0
 
 
+def test_revealing_terms_of_few_contexts(spark):
+    other = ["met some other person today " * 50 for _ in range(300)]
+    # one context in many copies, and one whose term is near by terms but far by letters
+    said = ["reach quixano on solo@x.org soon"] * 20 + ["ask panza " + "." * 1000 + " duo@x.org"]
+    terms = {r.term: r for r in pii.revealing_terms(texts(spark, *said, *other), "text").collect()}
+    assert set(terms) == {"reach", "quixano", "soon", "ask", "panza"} and terms["quixano"].disclosure < 0.97
+    # two entities share the term, which leaves each half of it
+    both = ["reach quixano on solo@x.org soon", "reach quixano on more@x.org soon"]
+    assert pii.revealing_terms(texts(spark, *both, *other), "text").count() == 0
+    # occurrences inside an entity are none of the term's own
+    inside = {r.term for r in pii.revealing_terms(texts(spark, "quixano: quixano@x.org", *["quixano@y.org"] * 9, *other), "text").collect()}
+    assert inside == {"quixano"}
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_revealing_terms_of_a_given_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    assert pii.revealing_terms(docs, "text").count() == 134
+    assert pii.sanitise(docs, "text").filter("spans like '%term:%'").count() > 0
+
+
 def test_toxicity_grammar():
     reader = toxicity.Reader(toxicity.Lexicon({"oaf": 2.0}, {"idio": 3.0}))
     plain, targeted, negated, reported, threat = range(5)
