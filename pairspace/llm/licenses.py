@@ -126,7 +126,9 @@ SUBJECTS = ["", *[f"{a} {b} is " for a in ("this", "the") for b in ("work", "sof
 VERBS = ["licensed", "released", "distributed", "available", "published"]
 
 COPYRIGHT = r"(?m)^[ \t]*(?:copyright|\(c\)|©)[^\n]*$"
-# each known text holds one of these words, in one of its spellings
+# a known text holds one of these words unbroken before it is normalised, in one of its spellings
+WORDS = "licen|permission|redistribution|released|distributed|available|published"
+# the same for the SQL, which misses notices whose words are parted by anything but one blank
 ANCHORS = "licen|permission|redistribution|released under|distributed under|available under|published under"
 
 
@@ -176,7 +178,7 @@ def scan_licenses(docs: DataFrame, text: str, known: DataFrame | None = None) ->
     dropped before it is normalised. ``known`` (``license, digest``) is small by construction
     when left out; a table of the caller's is broadcast only if Spark finds it small.
     """
-    anchored = "(?i)" + ANCHORS
+    anchored = "(?i)" + WORDS
     if known is None:
         known = F.broadcast(known_digests(docs.sparkSession))
         possible = lambda c: c.rlike(anchored)

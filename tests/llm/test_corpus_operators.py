@@ -53,6 +53,12 @@ def test_licences(spark):
     assert licenses.known_digests(spark).count() > 500
 
 
+def test_licences_with_parted_words(spark):
+    said = ["Released\nunder GPLv3", "x\n\nThis work is available\tunder\u00a0CC BY 4.0\n\nx", "released -- under MIT", "distributed\n(c) 2020 X\nunder the MIT License"]
+    found = licenses.scan_licenses(rows_of(spark, said), "text").select("id", "unit", "license").collect()
+    assert sorted(map(tuple, found)) == [(0, 0, "GPL-3.0"), (1, 2, "CC-BY-4.0"), (2, 0, "MIT"), (3, 0, "MIT")]
+
+
 def test_fingerprints_add_up(spark):
     whole = rows_of(spark, ["one two three\nfour five six seven\n\nlast"])
     parts = rows_of(spark, ["four five six seven", "last\none two three"])
