@@ -59,6 +59,24 @@ def test_licences_with_parted_words(spark):
     assert sorted(map(tuple, found)) == [(0, 0, "GPL-3.0"), (1, 2, "CC-BY-4.0"), (2, 0, "MIT"), (3, 0, "MIT")]
 
 
+def test_licences_over_several_paragraphs(spark):
+    parts = licenses.MIT.replace(" The above copyright", "\n\nThe above copyright").replace(" THE SOFTWARE IS PROVIDED", "\n \nTHE SOFTWARE IS PROVIDED")
+    said = [f"A project.\n\nMIT License\n\nCopyright (c) 2020 X\n\n{parts}\n\nThe end.", f"Read on.\r\n\r\n{parts}".replace("\n\n", "\r\n\r\n"), f"{parts} no\n\nx"]
+    found = licenses.scan_licenses(rows_of(spark, said), "text").select("id", "license", "digest").collect()
+    assert sorted((r.id, r.license) for r in found) == [(0, "MIT"), (0, "MIT"), (1, "MIT")] and len({r.digest for r in found}) == 2
+
+
+@pytest.mark.skipif(not os.path.isfile("/usr/share/common-licenses/GPL-3"), reason="no licence texts")
+def test_full_licence_texts(spark):
+    read = lambda name: open(f"/usr/share/common-licenses/{name}", encoding="utf-8").read()
+    names = ["GPL-2", "GPL-3", "LGPL-3", "MPL-2.0", "CC0-1.0", "Apache-2.0"]
+    said = [read(n) for n in names] + ["Notes\n\n" + read("GPL-3") + "\n\nmore notes"]
+    found = licenses.scan_licenses(rows_of(spark, said), "text").select("id", "unit", "license").collect()
+    whole = sorted((r.id, r.license) for r in found if r.unit == 0)
+    assert whole == [(0, "GPL-2.0"), (1, "GPL-3.0"), (2, "LGPL-3.0"), (3, "MPL-2.0"), (4, "CC0-1.0"), (5, "Apache-2.0")]
+    assert (6, "GPL-3.0") in {(r.id, r.license) for r in found}
+
+
 def test_fingerprints_add_up(spark):
     whole = rows_of(spark, ["one two three\nfour five six seven\n\nlast"])
     parts = rows_of(spark, ["four five six seven", "last\none two three"])
