@@ -33,9 +33,13 @@ BLOCKS = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 # their content is no text of the page
-SILENT = frozenset("head script style template noscript svg math iframe object textarea canvas audio video title".split())
+SILENT = frozenset("head script style template noscript svg iframe object textarea canvas audio video title".split())
 # read up to their end tag, markup included
 RAW = frozenset("script style textarea title iframe".split())
+# what may stand in a head; any other start tag ends an open one
+HEAD_ONLY = frozenset("head base basefont bgsound link meta title script style template noscript noframes".split())
+# what is read by rules of its own, also in a head
+ENCLOSED = ("template", "noscript")
 # what an opening tag closes when it is open: a paragraph by any block, others by their like
 CLOSED_BY_LIKE = {
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",),
@@ -112,6 +116,8 @@ def leaf_blocks(page: str, known: frozenset[str] | None = None) -> list[Block]:
             chunk = m.group()
             if chunk[0] == "<" and len(chunk) > 1:
                 continue
+            if stack[-1].tag == "head" and chunk.strip():
+                close("head", False)
             if not stack[-1].silent:
                 chunk = html.unescape(chunk)
                 if not said or not any(x.strip() for x in said):
@@ -121,6 +127,8 @@ def leaf_blocks(page: str, known: frozenset[str] | None = None) -> list[Block]:
                 said.append(chunk)
             continue
         tag = tag.lower()
+        if open_tags["head"] and not m.group(1) and tag not in HEAD_ONLY and not any(open_tags[t] for t in ENCLOSED):
+            close("head", False)
         if m.group(1):
             if tag in BLOCKS:
                 flush()

@@ -213,6 +213,17 @@ def test_main_text(spark):
     assert got == {0: (article, len(article)), 1: ("", 0), 2: ("", 0), 3: ("", 0), 4: (article, len(article))}
 
 
+def test_head_without_end_tag_and_math():
+    said = lambda page: [b.text for b in main_text.leaf_blocks(page)]
+    body = "<p>One.<p>Two <math><mi>x</mi><mo>=</mo><mn>1</mn></math>."
+    start = "<html><head><meta charset=utf-8><title>No</title><script>no</script><noscript><p>no</p></noscript>"
+    for rest in (f"<body>{body}", body, f"</head><body>{body}", f"<div>{body}</div>"):
+        assert said(start + rest) == ["One.", "Two x=1."], rest
+    assert said("<head><title>x</title><a href=/>Go</a> on") == ["Go on"]
+    # text that a head cannot hold ends it as well
+    assert said("<head><title>x</title>\n Go on") == ["Go on"] and said("<head><template><p>no</p></template></head>") == []
+
+
 def test_viterbi_and_gradient_of_the_field():
     """Decoding against all labelings, expectations against sums over them."""
     import itertools
