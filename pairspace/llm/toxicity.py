@@ -27,9 +27,9 @@ from .rows import col, map_rows
 # labelled rows of each class that learning reads at most
 TRAIN_ROWS = 10_000
 STEMS = range(4, 9)
-MAX_STEMS = 5_000
 MIN_PLACES = 5
-MAX_ODDS = 0.003
+# least smoothed log-odds of a toxic use against a clean one
+MIN_WEIGHT = 3.0
 MAX_SHARE = 0.5
 
 # Function words of the grammar in English, German, French and Spanish.
@@ -208,7 +208,8 @@ def learn(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, t
     Rows with ``held_out`` ids, null ids, null texts or null labels are never read. The rows are those with the smallest hashes
     of their ids. A stem or word joins the lexicon if toxic texts have it after ``MIN_PLACES`` different words, no one of
     which comes before more than ``MAX_SHARE`` of its uses (so that copies of one passage teach nothing), and
-    clean texts have it at most ``MAX_ODDS`` times as often. Without both classes nothing is learnt.
+    the smoothed log-odds of its use in toxic against clean texts, which are its weight, reach ``MIN_WEIGHT``; single clean uses (quoted,
+    negated, mislabelled) only lower the weight. Without both classes nothing is learnt.
     """
     known = labels.select(col(key).alias("id"), col(label).cast("int").alias("y")).filter(
         F.col("id").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("id"))
@@ -238,11 +239,9 @@ def learn(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, t
     )
     clean = said.filter("y = 0").groupBy("word").agg(F.count("*").alias("n")).withColumn("stem", F.explode(stems))
     clean = clean.join(toxic.select("stem"), "stem", "left_semi").groupBy("stem").agg(F.sum("n").alias("clean"))
-    odds = F.col("clean") / F.lit(size[0]) / (F.col("uses") / F.lit(size[1]))
     weight = F.log((F.col("uses") + 0.5) / (F.col("clean") + 0.5) * F.lit(size[0] / size[1]))
     kept = (
-        toxic.join(clean, "stem", "left").fillna(0, ["clean"]).filter(odds <= MAX_ODDS)
-        .select("stem", "uses", weight.alias("weight")).orderBy(F.desc("uses"), "stem").limit(MAX_STEMS)
+        toxic.join(clean, "stem", "left").fillna(0, ["clean"]).select("stem", weight.alias("weight")).filter(F.col("weight") >= MIN_WEIGHT)
     )
     words_found: dict[str, float] = {}
     stems_found: dict[str, float] = {}

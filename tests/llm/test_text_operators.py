@@ -194,6 +194,15 @@ def test_toxicity_learns_from_labels(spark):
     assert {r.score for r in toxicity.score(texts(spark, *ODD), "text", nothing).collect()} == {0.5}
 
 
+def test_toxicity_keeps_insults_that_clean_texts_quote(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice(["ra", "ti", "mo", "ne", "sul"]) for _ in range(3))
+    said = [" ".join(word() for _ in range(10)) + (f" grumpf {word()}" if i % 3 == 0 or i == 1 else "") for i in range(300)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)], "id long, toxic int")
+    model = toxicity.learn(spark.createDataFrame(list(enumerate(said)), "id long, text string"), labels, "id", "text", "toxic", 10_000)
+    assert model.lexicon.weight("grumpf") >= toxicity.MIN_WEIGHT and model.lexicon.weight("ratimo") == 0
+
+
 def test_main_text(spark):
     trained = main_text.train(list(main_text.labelled_pages()))
     right = blocks = 0
