@@ -83,7 +83,7 @@ def _chunk_sets(joined: list[bytes], size: int) -> list[np.ndarray]:
         values[ends] = 0
         words = _mix(np.add.reduceat(values, starts) + lengths.astype(np.uint64) * _STEPS[4])
         sums = np.zeros(len(words), np.uint64)
-        for j in range(size):
+        for j in range(min(size, len(words))):
             sums[: len(words) - j] += words[j:] * (_STEPS[j % 5] + np.uint64(2 * (j // 5)))
     out, at = [], 0
     for n in counts.tolist():

@@ -249,3 +249,19 @@ def test_viterbi_and_gradient_of_the_field():
         on, _ = main_text._expectations(scores, field.steps)
         for i, p in enumerate(on):
             assert abs(p - sum(math.exp(total(y)) for y in every if y[i]) / z) < 1e-9
+
+
+def test_shingles_of_short_texts():
+    from itertools import product
+
+    from pairspace.llm.jaccard_join import shingle_sets
+
+    word = ["a", "b", "c", "a", "d", "e"]
+    for lengths in [*product(range(7), repeat=1), *product(range(7), repeat=2), *product(range(7), repeat=3)]:
+        said = [word[:n] for n in lengths]
+        sets = shingle_sets([" ".join(w).encode() for w in said])
+        wanted = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in said]
+        assert [len(s) for s in sets] == [len(w) for w in wanted]
+        for i in range(len(said)):
+            for j in range(i):
+                assert len(set(sets[i].tolist()) & set(sets[j].tolist())) == len(wanted[i] & wanted[j])
