@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprint, jaccard_join, licenses, line_dedup, main_text, pieces, pii, repeats, toxicity
+from .sql_crc import crc32_sql
+from . import decontaminate, fingerprint, jaccard_join, licenses, line_dedup, main_text, pieces, pii, repeats, resample, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -125,3 +126,42 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return repeats.find_repeats(docs, "doc_id", "text").drop("spans")
+
+
+_WORDS_SQL = """regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"""
+
+
+@query(
+    "op13_resample",
+    sql=f"""
+WITH docs AS (SELECT doc_id, {_WORDS_SQL} AS w FROM documents),
+aim AS (SELECT {_WORDS_SQL} AS w FROM benchmark),
+said AS (SELECT doc_id, unnest(w) AS word FROM docs), wanted AS (SELECT unnest(w) AS word FROM aim),
+bucket AS (
+  SELECT word, {crc32_sql("word")} % {resample.BUCKETS} AS b FROM (SELECT word FROM said UNION SELECT word FROM wanted)
+), s AS (SELECT b, count(*) AS n FROM said JOIN bucket USING (word) GROUP BY b),
+t AS (SELECT b, count(*) AS n FROM wanted JOIN bucket USING (word) GROUP BY b),
+gain AS (
+  SELECT b, CAST(floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * ((SELECT count(*) FROM said) + {resample.BUCKETS})
+   / ((coalesce(s.n, 0) + 1)::DOUBLE * ((SELECT count(*) FROM wanted) + {resample.BUCKETS})))) AS BIGINT) AS g
+  FROM s FULL JOIN t USING (b)
+), weights AS (
+  SELECT doc_id, count(*) AS n, CAST(floor(sum(g)::DOUBLE / count(*)) AS BIGINT) AS weight
+  FROM said JOIN bucket USING (word) JOIN gain USING (b) GROUP BY doc_id
+), scored AS (
+  SELECT doc_id, CAST(len(coalesce(w, [])) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight,
+   coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((('0x' || substr(sha256('{resample.SEED}:' || doc_id), 1, 8))::UBIGINT::DOUBLE + 0.5)
+    / 4294967296))) AS BIGINT) AS score
+  FROM docs LEFT JOIN weights USING (doc_id)
+), placed AS (
+  SELECT *, n_features >= {resample.MIN_WORDS} AS able,
+   row_number() OVER (PARTITION BY n_features >= {resample.MIN_WORDS} ORDER BY score DESC, doc_id) AS place FROM scored
+)
+SELECT doc_id, n_features, weight, score,
+ CASE WHEN able AND place <= {resample.SHARE[0]} * (SELECT count(*) FROM placed WHERE able) // {resample.SHARE[1]} THEN place END AS rank FROM placed
+""",
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return resample.resample(docs, "doc_id", "text", table(spark, sf_dir, "benchmark"), "text")

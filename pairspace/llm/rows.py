@@ -35,10 +35,10 @@ def unpack(df: DataFrame, row: str, fields: Sequence[str], **replaced: Column) -
 ROWS_AT_ONCE, BYTES_AT_ONCE = 1_000, 8_000_000
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _slices(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     """Cut batches so that few bytes are worked on at once, however long the rows are."""
     for batch in batches:
-        rows = min(ROWS_AT_ONCE, max(1, batch.num_rows * BYTES_AT_ONCE // max(1, batch.nbytes)))
+        rows = min(most, max(1, batch.num_rows * BYTES_AT_ONCE // max(1, batch.nbytes)))
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
 
@@ -49,6 +49,7 @@ def map_rows(
     added: T.StructType,
     start: Callable[[], Callable[..., Sequence[list]]],
     keep: Sequence[str] | None = None,
+    rows_at_once: int = ROWS_AT_ONCE,
 ) -> DataFrame:
     """Add columns that Python computes from ``inputs``, batch by batch, without a shuffle.
 
@@ -64,13 +65,13 @@ def map_rows(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = start()
         types = to_arrow_schema(added)
-        for batch in _slices(batches):
+        for batch in _slices(batches, rows_at_once):
             columns = batch.columns
             given = []
             for c in columns[width:]:
                 given.append((c.cast(pa.binary()) if pa.types.is_string(c.type) else c).to_pylist())
             made = work(*given)
-            arrays = [pa.array(v, type=f.type) for v, f in zip(made, types, strict=True)]
+            arrays = [v if isinstance(v, pa.Array) and v.type == f.type else pa.array(v, type=f.type) for v, f in zip(made, types, strict=True)]
             yield pa.RecordBatch.from_arrays([*columns[:width], *arrays], names=[f.name for f in schema])
 
     return carried.mapInArrow(run, schema)
