@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .sql_crc import crc32_sql
-from . import decontaminate, fingerprint, jaccard_join, licenses, line_dedup, main_text, pieces, pii, repeats, resample, toxicity
+from . import decontaminate, fingerprint, jaccard_join, licenses, line_dedup, main_text, pieces, pii, repeats, resample, toxicity, turn_trie
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -165,3 +165,38 @@ SELECT doc_id, n_features, weight, score,
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return resample.resample(docs, "doc_id", "text", table(spark, sf_dir, "benchmark"), "text")
+
+
+@query(
+    "op11_turn_trie",
+    sql=f"""
+WITH turns AS (
+  SELECT conv_id, md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS key, length(coalesce(text, '')) AS size,
+   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS k
+  FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+  SELECT conv_id, conv_id - conv_id % {turn_trie.SPAN} AS base, {crc32_sql("c")} % {turn_trie.OPENINGS} AS h
+  FROM (SELECT DISTINCT conv_id, conv_id::VARCHAR AS c FROM turns)
+), placed AS (
+  SELECT c.conv_id, 0 AS part, k, key, size FROM convs c JOIN turns t ON t.conv_id = c.base WHERE k <= h
+  UNION ALL SELECT c.conv_id, 1, k, key, size FROM convs c JOIN turns t ON t.conv_id = c.conv_id WHERE k > h
+), seqs AS (
+  SELECT c.conv_id, coalesce(string_agg(key, '' ORDER BY part, k), '') AS s, coalesce(list(size ORDER BY part, k) FILTER (size IS NOT NULL), []) AS sizes
+  FROM convs c LEFT JOIN placed p USING (conv_id) GROUP BY c.conv_id
+), prefixes AS (SELECT conv_id, s, sizes, unnest(range(strlen(s) // 32 + 1)) AS d FROM seqs),
+nodes AS (
+  SELECT substr(s, 1, 32 * d) AS p, d, min(conv_id) AS conv_id, count(*) AS n, any_value(CASE WHEN d > 0 THEN sizes[d] ELSE 0 END) AS size
+  FROM prefixes GROUP BY 1, 2
+), kids AS (SELECT substr(p, 1, 32 * (d - 1)) AS p, count(*) AS k FROM nodes WHERE d > 0 GROUP BY 1),
+whole AS (SELECT nodes.*, coalesce(k, 0) AS k FROM nodes LEFT JOIN kids USING (p)),
+sums AS (
+  SELECT substr(p, 1, 32 * up) AS p, sum((n - 1) * size) AS saved, count(*) FILTER (k = 0) AS leaves
+  FROM (SELECT p, n, size, k, unnest(range(d + 1)) AS up FROM whole) GROUP BY 1
+), ends AS (SELECT s AS p, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS sha FROM seqs GROUP BY s)
+SELECT w.conv_id, w.d AS depth, u.conv_id AS parent_conv_id, w.n AS n_convs, w.k AS n_children, CAST(leaves AS BIGINT) AS n_leaves,
+ CAST(saved AS BIGINT) AS saved_tokens, coalesce(sha, '{turn_trie.NOBODY}') AS ends_sha256
+FROM whole w JOIN sums USING (p) LEFT JOIN ends USING (p) LEFT JOIN nodes u ON w.d > 0 AND u.p = substr(w.p, 1, 32 * (w.d - 1))
+""",
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_trie.conversation_trie(table(spark, sf_dir, "conversations"))
