@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .sql_crc import crc32_sql
-from . import decontaminate, fingerprint, jaccard_join, licenses, line_dedup, main_text, pieces, pii, repeats, resample, toxicity, turn_trie
+from . import decontaminate, fingerprint, jaccard_join, licenses, line_dedup, main_text, neighbours, pieces, pii, repeats, resample, toxicity, turn_trie
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -200,3 +200,8 @@ FROM whole w JOIN sums USING (p) LEFT JOIN ends USING (p) LEFT JOIN nodes u ON w
 )
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turn_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+@query("op12_neighbours")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 20 == 0, 20)
