@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import cluster_prep as prep
 from ..operators import evaluate as ev
-from ..operators import matching
+from ..operators import matching, whispers
 from . import views as v
 from .registry import query, r6
 from .sql import view
@@ -262,11 +262,39 @@ def pair_ids(spark, sf):
     return _ids(spark, sf)[1]
 
 
-@query("symmetrize", "pair_ids", "ranked_sims", sql="""
+view("graph", "pair_ids", "ranked_sims", sql="""
     SELECT nid1, nid2, arg_max(s, pos) AS similarity FROM (
       SELECT a.id AS nid1, b.id AS nid2, trunc(similarity)::INT AS s, pos FROM ranked_sims JOIN pair_ids a ON a.pair = l_pair JOIN pair_ids b ON b.pair = r_pair
       UNION ALL
       SELECT b.id, a.id, trunc(similarity)::INT, pos FROM ranked_sims JOIN pair_ids a ON a.pair = l_pair JOIN pair_ids b ON b.pair = r_pair)
     GROUP BY nid1, nid2""")
+
+
+@query("symmetrize", "graph", sql="SELECT nid1, nid2, similarity FROM graph")
 def symmetrize(spark, sf):
     return prep.symmetrize(*_ids(spark, sf))
+
+
+ROUNDS = 6
+
+
+def _whisper_views(name, edges, src, dst, weight):
+    """One view for each round over the labels of the round before."""
+    view(f"{name}_0", edges, sql=f"SELECT node, node AS label FROM (SELECT {src} AS node FROM {edges} UNION SELECT {dst} FROM {edges})")
+    for r in range(1, ROUNDS + 1):
+        view(f"{name}_{r}", edges, f"{name}_{r - 1}", sql=f"""
+            SELECT l.node, CASE WHEN best IS NOT NULL AND substr(md5(l.node || ':{r}:0'), 1, 1) < '8' THEN best ELSE label END AS label
+            FROM {name}_{r - 1} l LEFT JOIN (
+              SELECT node, label AS best FROM (
+                SELECT {src} AS node, label, row_number() OVER (PARTITION BY {src} ORDER BY sum({weight}) DESC, label) AS nth
+                FROM {edges} JOIN {name}_{r - 1} ON {dst} = node WHERE {src} <> {dst} AND {weight} > 0 GROUP BY {src}, label)
+              WHERE nth = 1) b ON b.node = l.node""")
+
+
+_whisper_views("whisper", "graph", "nid1", "nid2", "similarity")
+
+
+@query("chinese_whispers", f"whisper_{ROUNDS}", sql=f"SELECT node, label FROM whisper_{ROUNDS}")
+def chinese_whispers(spark, sf):
+    return whispers.chinese_whispers(prep.symmetrize(*_ids(spark, sf)), ROUNDS)
+
