@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.skew import PAIR_CHUNK, shared_group_pairs
+from ..plans.storage import materialise
+
+SLACK = 1e-9
 
 
 def candidate_pairs(vectors: DataFrame, key: str = "id", chunk: int = PAIR_CHUNK) -> DataFrame:
@@ -107,3 +110,75 @@ def pair_similarity(
         "cosine": F.coalesce(F.try_divide("dot", F.col("norm_l") * F.col("norm_r")), F.lit(0.0)),
     }[how]
     return pairs.join(both.select(left, right, score.alias("similarity")), [left, right], "left")
+
+
+def equal_vectors(vectors: DataFrame, key: str = "id", value: str = "value") -> DataFrame:
+    """``(key, first)``: for each vector the smallest key whose vector has the same entries.
+
+    A vector is known by its number of entries and two 64-bit digests of the set of them, so nothing is collected.
+    """
+    digests = [F.bit_xor(F.xxhash64(F.lit(seed), "idx", value)).alias(f"d{seed}") for seed in (1, 2)]
+    known = vectors.groupBy(key).agg(F.count("*").alias("n"), *digests)
+    first = known.groupBy("n", "d1", "d2").agg(F.min(key).alias("first"))
+    return known.join(first, ["n", "d1", "d2"]).select(key, "first")
+
+
+def _unit_entries(vectors: DataFrame, key: str, value: str) -> DataFrame:
+    known = vectors.filter(F.col(key).isNotNull() & F.col("idx").isNotNull()).select(key, "idx", F.col(value).cast("double").alias("v")).filter("v <> 0")
+    norms = known.groupBy(key).agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
+    return known.join(norms, key).select(key, "idx", (F.col("v") / F.col("norm")).alias("v"))
+
+
+def indexed_entries(unit: DataFrame, min_similarity: float, key: str = "id") -> DataFrame:
+    """``key, idx, v, rare, left``: of each vector of length 1 the entries by which a similar one can find it.
+
+    The features are ordered from the most common to the rarest. The entries before the place where a vector's part reaches the length
+    ``min_similarity`` are left out: that part's product with any vector of length 1 is smaller. So the rarest
+    feature that two similar vectors share is among the indexed entries of both. ``left`` is the squared length of what is left
+    out, ``rare`` the place of the first indexed feature in the order.
+    """
+    common = unit.groupBy("idx").agg(F.count("*").alias("df"))
+    placed = unit.join(common, "idx").withColumn("at", F.struct((-F.col("df")).alias("df"), "idx"))
+    so_far = Window.partitionBy(key).orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = placed.withColumn("so_far", F.sum(F.col("v") * F.col("v")).over(so_far))
+    # rounding must not lose an entry
+    kept = summed.filter(F.col("so_far") >= min_similarity * min_similarity - SLACK)
+    first = kept.groupBy(key).agg(F.min(F.struct("at", (F.col("so_far") - F.col("v") * F.col("v")).alias("left"))).alias("f"))
+    return kept.join(first, key).select(key, "idx", "v", F.col("f.at").alias("rare"), F.greatest("f.left", F.lit(0.0)).alias("left"))
+
+
+def similar_pairs(
+    vectors: DataFrame, min_similarity: float, key: str = "id", value: str = "value", chunk: int = PAIR_CHUNK
+) -> DataFrame:
+    """``(row, col, similarity)`` with ``row > col`` of all pairs whose cosine is at least ``min_similarity`` (above 0). Exact.
+
+    Pairs are formed at indexed entries only, see :func:`indexed_entries`; there, a common feature of many vectors is mostly left out.
+    What two vectors can still share before the later of their first indexed places is at most the product of the lengths that remain; pairs that cannot reach
+    the threshold with it go before the vectors are compared. Vectors without entries, or of zeros only, are similar to nothing.
+
+    Equal vectors are similar to each other, so their pairs are as many as the square of their number: take one of each
+    (:func:`equal_vectors`) if that is not wanted.
+    """
+    if not 0 < min_similarity <= 1:
+        raise ValueError("min_similarity must be above 0 and at most 1")
+    unit = materialise(_unit_entries(vectors, key, value), "unit-vectors")
+    index = materialise(indexed_entries(unit, min_similarity, key), "indexed-entries")
+    met = shared_group_pairs(index, "idx", key, ["v", "rare", "left"], chunk).filter(F.col(f"hi_{key}") != F.col(f"lo_{key}"))
+    hi, lo = F.col(f"hi_{key}").alias("row"), F.col(f"lo_{key}").alias("col")
+    sums = met.groupBy(hi, lo).agg(
+        F.sum(F.col("hi_v") * F.col("lo_v")).alias("dot"),
+        F.sum(F.col("hi_v") * F.col("hi_v")).alias("hi2"),
+        F.sum(F.col("lo_v") * F.col("lo_v")).alias("lo2"),
+        *[F.max(c).alias(c) for c in ("hi_rare", "lo_rare", "hi_left", "lo_left")],
+    )
+
+    def rest(left: str, met_of_other: str) -> Column:
+        return F.sqrt(F.col(left) * F.greatest(F.lit(1.0) - F.col(met_of_other), F.lit(0.0)))
+
+    hi_later = F.col("hi_rare") >= F.col("lo_rare")
+    most = F.col("dot") + F.when(hi_later, rest("hi_left", "lo2")).otherwise(rest("lo_left", "hi2"))
+    possible = sums.filter(most >= min_similarity - SLACK).select("row", "col")
+    left = unit.select(F.col(key).alias("row"), "idx", F.col("v").alias("a"))
+    right = unit.select(F.col(key).alias("col"), "idx", F.col("v").alias("b"))
+    exact = possible.join(left, "row").join(right, ["col", "idx"]).groupBy("row", "col").agg(F.sum(F.col("a") * F.col("b")).alias("similarity"))
+    return exact.filter(F.col("similarity") >= min_similarity)
