@@ -25,7 +25,7 @@ from .rows import map_rows
 
 MARK = "▁"
 # words remembered by a task, so that its memory is bounded
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 UNIGRAM, BPE = 1, 2
 
 
@@ -116,7 +116,8 @@ class Encoder:
         self.v = vocabulary
         self.names = {i: p for p, i in vocabulary.ids.items()}
         self.words: dict[str, bytes] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        # by both ids in one number, which needs half the memory of a tuple
+        self.pairs: dict[int, bool] = {}
         self.blanks: dict[int, bytes] = {}
         self.remembered = remembered
 
@@ -177,9 +178,10 @@ class Encoder:
                             if prev < 0:
                                 ok = True
                             else:
-                                ok = pairs.get((prev, piece))
+                                pair = prev << 32 | piece
+                                ok = pairs.get(pair)
                                 if ok is None:
-                                    ok = pairs[prev, piece] = self.apart(prev, piece)
+                                    ok = pairs[pair] = self.apart(prev, piece)
                             if ok:
                                 found, start = piece, j
                                 break
@@ -214,7 +216,7 @@ class Encoder:
         split = [None if t is None else t.replace(MARK, " ").split(" ") if t else [] for t in texts]
         if len(self.words) > self.remembered:
             self.words.clear()
-        if len(self.pairs) > 4 * self.remembered:
+        if len(self.pairs) > 2 * self.remembered:
             self.pairs.clear()
         self.learn({w for words in split if words for w in words if w} - self.words.keys())
         return [None if w is None else np.frombuffer(self._join(w), np.int32) for w in split]

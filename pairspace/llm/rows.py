@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -43,6 +45,15 @@ def _slices(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordB
             yield batch.slice(at, rows)
 
 
+def _give_back() -> None:
+    """Return freed memory to the system: workers are reused, also by stages that need much less."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def map_rows(
     df: DataFrame,
     inputs: Sequence[str],
@@ -73,5 +84,7 @@ def map_rows(
             made = work(*given)
             arrays = [v if isinstance(v, pa.Array) and v.type == f.type else pa.array(v, type=f.type) for v, f in zip(made, types, strict=True)]
             yield pa.RecordBatch.from_arrays([*columns[:width], *arrays], names=[f.name for f in schema])
+        del work
+        _give_back()
 
     return carried.mapInArrow(run, schema)
