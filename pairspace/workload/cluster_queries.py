@@ -120,6 +120,44 @@ def ceaf_entity(spark, sf):
     return _scores(matching.ceaf(*_both(spark, sf), similarity="dice"))
 
 
+# customers by region and by segment: few clusters on both sides, so SQL can try all matchings
+view("by_region", sql="""
+    SELECT c_custkey AS item, r_name AS cluster FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""")
+view("by_segment", sql="SELECT c_custkey AS item, c_mktsegment AS cluster FROM customer")
+view("region_cells", "by_region", "by_segment", sql="""
+    SELECT dense_rank() OVER (ORDER BY t) AS t, dense_rank() OVER (ORDER BY p) AS p, n, n / (any_t + any_p)::DOUBLE AS dice FROM (
+      SELECT a.cluster AS t, b.cluster AS p, count(*) AS n,
+             (SELECT count(*) FROM by_region x WHERE x.cluster = a.cluster) AS any_t, (SELECT count(*) FROM by_segment x WHERE x.cluster = b.cluster) AS any_p
+      FROM by_region a JOIN by_segment b USING (item) GROUP BY a.cluster, b.cluster)""")
+_BEST = """
+    SELECT max(total) FROM (
+      WITH RECURSIVE m AS (
+        SELECT 0::BIGINT AS i, []::BIGINT[] AS used, 0::DOUBLE AS total
+        UNION ALL SELECT i + 1, list_append(used, p), total + {weight} FROM m JOIN region_cells ON t = i + 1 AND NOT list_contains(used, p))
+      SELECT * FROM m)"""
+
+
+def _regions(spark, sf):
+    customer, nation, region = (v.table(spark, sf, n) for n in ("customer", "nation", "region"))
+    homes = customer.join(nation, customer.c_nationkey == nation.n_nationkey).join(region, nation.n_regionkey == region.r_regionkey)
+    by_region = homes.select(F.col("c_custkey").alias("item"), F.col("r_name").alias("cluster"))
+    return by_region, customer.select(F.col("c_custkey").alias("item"), F.col("c_mktsegment").alias("cluster"))
+
+
+@query("ceaf_mention_regions", "region_cells", sql=_PRF.format(body=f"""
+    SELECT s AS p_num, (SELECT count(*)::DOUBLE FROM by_segment) AS p_den, s AS r_num, (SELECT count(*)::DOUBLE FROM by_region) AS r_den
+    FROM (SELECT ({_BEST.format(weight='n')}) AS s)"""))
+def ceaf_mention_regions(spark, sf):
+    return _scores(matching.ceaf(*_regions(spark, sf), similarity="overlap"))
+
+
+@query("ceaf_entity_regions", "region_cells", sql=_PRF.format(body=f"""
+    SELECT s AS p_num, (SELECT count(DISTINCT cluster) / 2 FROM by_segment) AS p_den, s AS r_num, (SELECT count(DISTINCT cluster) / 2 FROM by_region) AS r_den
+    FROM (SELECT ({_BEST.format(weight='dice')}) AS s)"""))
+def ceaf_entity_regions(spark, sf):
+    return _scores(matching.ceaf(*_regions(spark, sf), similarity="dice"))
+
+
 view("tw_lost", "truth", "pred", sql="SELECT item, 'lost ' || item AS cluster FROM truth WHERE item NOT IN (SELECT item FROM pred)")
 view("tw_known", "truth", "pred", sql="SELECT item, cluster FROM pred WHERE item IN (SELECT item FROM truth)")
 view("tw_extra", "truth", "pred", sql="""

@@ -84,31 +84,47 @@ def test_against_enumerated_pairs(spark):
     )
 
 
-def test_assignment_against_all_permutations():
-    import numpy as np
+def heaviest(w):
+    """Of a table ``{(t, p): w}``, by trying everything."""
+    t = sorted({a for a, _ in w})
 
-    rng = np.random.default_rng(0)
+    def best(i, used):
+        if i == len(t):
+            return 0.0
+        others = [w[t[i], p] + best(i + 1, used | {p}) for p in {b for _, b in w} - used if (t[i], p) in w]
+        return max([best(i + 1, used), *others])
+
+    return best(0, frozenset())
+
+
+def random_table(rng, whole):
+    return {
+        (i, j): float(rng.choice([1, 1, 2, 3, 7])) if whole else rng.choice([0.5, 0.25, 1 / 3, rng.random() + 0.01])
+        for i in range(rng.randrange(1, 6)) for j in range(rng.randrange(1, 7)) if rng.random() < 0.7
+    }
+
+
+def test_auction_in_one_task():
+    import pandas as pd
+
+    rng = random.Random(0)
     for k in range(300):
-        r = int(rng.integers(1, 6))
-        c = int(rng.integers(r, 7))
-        w = rng.random((r, c)) if k % 2 else rng.integers(0, 4, (r, c)).astype(float)
-        best = max(sum(w[i, q[i]] for i in range(r)) for q in itertools.permutations(range(c), r))
-        assert matching._assign(w) == pytest.approx(best)
+        table = random_table(rng, k % 2 == 0) or {(0, 0): 1.0}
+        part = pd.DataFrame([(str(a), str(b), w) for (a, b), w in table.items()], columns=["t", "p", "w"])
+        assert matching._solve(part, k % 2 == 0)["total"][0] == pytest.approx(heaviest(table), abs=1e-9)
 
 
-def test_matching_by_certain_edges_and_components(spark):
+@pytest.mark.parametrize(("whole", "n"), [(True, 60), (False, 10)])
+def test_matching(spark, whole, n):
+    """Many tables as one graph, with the components in tasks and in a distributed auction of small blocks."""
     rng = random.Random(9)
-    edges, expected = [], 0.0
-    for part in range(4):
-        w = {(i, j): rng.choice([0, 1, 2, 3, 5]) for i in range(3) for j in range(4)}
-        edges += [(f"t{part}{i}", f"p{part}{j}", float(x)) for (i, j), x in w.items() if x]
-        expected += max(sum(w[i, q[i]] for i in range(3)) for q in itertools.permutations(range(4), 3))
+    tables = [random_table(rng, whole) for _ in range(n)]
+    edges = [(f"t{k} {i}", f"p{k} {j}", w) for k, table in enumerate(tables) for (i, j), w in table.items()]
+    expected = sum(map(heaviest, tables))
     df = spark.createDataFrame(edges, "t string, p string, w double")
-    assert matching.best_matching(df).first()[0] == pytest.approx(expected)
-    assert matching.best_matching(df, max_cells=12).first()[0] == pytest.approx(expected)
-    square = spark.createDataFrame([(a, b, 1.0) for a in "ab" for b in "xy"] + [("c", "x", 0.6), ("a", "z", 0.7)], "t string, p string, w double")
-    with pytest.raises(ValueError, match="too large"):
-        matching.best_matching(square, max_cells=1)
+    assert matching.best_matching(df, whole).first()[0] == pytest.approx(expected, abs=1e-6)
+    assert matching.best_matching(df, whole, local_edges=8, block_edges=100).first()[0] == pytest.approx(expected, abs=1e-6)
+    assert matching.best_matching(df.limit(0)).first()[0] == 0
 
 
 def test_sets_and_sizes(spark, both):
