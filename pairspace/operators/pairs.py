@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import is_plain_word, is_tagged_common_noun, strip_tag
 from ..plans.once import with_column_once
+from ..plans.storage import materialise
 from .counts import top_n
 
 NOUN_TAGS = ("NN", "NNS")
@@ -59,8 +60,21 @@ def noun_pairs(parses: DataFrame, tags: Sequence[str] = NOUN_TAGS, spread: bool
 
 
 def subcorpus_pairs(parses: DataFrame, wanted: DataFrame, tags: Sequence[str] = NOUN_TAGS) -> DataFrame:
-    """The noun pairs that are wanted, ``(sid, noun1, noun2)``; repeats stay."""
-    return noun_pairs(parses, tags).join(wanted.select("noun1", "noun2"), ["noun1", "noun2"]).select("sid", "noun1", "noun2")
+    """The noun pairs that are wanted, ``(sid, noun1, noun2)``; repeats stay.
+
+    Nouns are looked up before they are paired: only those that a wanted pair has at all leave the annotated sentence, one row each, and
+    are stored; a left one takes its wanted partners along, and these are looked for further right in the same sentence. So no
+    pair is formed that is not wanted. ``sid`` must tell sentences apart.
+    """
+    pairs = wanted.select("noun1", "noun2").filter("noun1 is not null and noun2 is not null")
+    lefts = pairs.select(F.col("noun1").alias("noun"), F.lit(1).alias("side"))
+    rights = pairs.select(F.col("noun2").alias("noun"), F.lit(2).alias("side"))
+    sides = lefts.unionByName(rights).groupBy("noun").agg(F.bit_or("side").alias("sides"))
+    nouns = with_column_once(parses.select("sid", "tokens"), "nouns", nouns_of(F.col("tokens"), tags)).filter(F.size("nouns") > 1)
+    known = materialise(nouns.select("sid", F.posexplode("nouns").alias("at", "noun")).join(sides, "noun"), "wanted-nouns")
+    left = known.filter(F.col("sides").bitwiseAND(1) > 0).select("sid", F.col("noun").alias("noun1"), F.col("at").alias("a")).join(pairs, "noun1")
+    right = known.filter(F.col("sides").bitwiseAND(2) > 0).select("sid", F.col("noun").alias("noun2"), F.col("at").alias("b"))
+    return left.join(right, ["sid", "noun2"]).filter("a < b").select("sid", "noun1", "noun2")
 
 
 def subcorpus(parses: DataFrame, wanted: DataFrame, tags: Sequence[str] = NOUN_TAGS) -> DataFrame:
