@@ -41,3 +41,35 @@ def dense_ids(df: DataFrame, order: Sequence[Column | str], name: str = "id") ->
     return placed.join(F.broadcast(offsets), "_slice").select(
         (F.col("_offset") + F.col("_row") + 1).alias(name), *df.columns
     )
+
+
+def running_sums(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], value: Column, name: str = "sum"
+) -> DataFrame:
+    """Add the running sum of ``value`` within each group of ``keys``, in a total order. Groups may be of any size.
+
+    The rows are range-partitioned by keys and order and stored, as for :func:`dense_ids`. Within a slice the sums
+    run by themselves; a group that goes on from earlier slices starts with what they have of it. Only a slice's first group can go on,
+    so there is one such row per slice.
+    """
+    order = [F.col(c) if isinstance(c, str) else c for c in order]
+    stored = materialise(
+        df.withColumn("_value", value.cast("long"))
+        .repartitionByRange(*keys, *order)
+        .sortWithinPartitions(*keys, *order)
+        .withColumn("_place", F.monotonically_increasing_id()),
+        "running-sums",
+    )
+    group = F.struct(*keys).alias("_group")
+    placed = stored.withColumn("_slice", F.shiftrightunsigned("_place", ROW_BITS))
+    first = placed.groupBy("_slice").agg(F.min(F.struct("_place", group))["_group"].alias("_group"))
+    # what each slice has of the groups that stand first in some slice: a few rows per slice
+    going_on = F.broadcast(first.select("_group").distinct())
+    parts = placed.withColumn("_group", group).join(going_on, "_group").groupBy("_group", "_slice").agg(F.sum("_value").alias("_part"))
+    earlier = Window.partitionBy("_group").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.select("_group", "_slice", F.sum("_part").over(earlier).alias("_offset")).filter("_offset is not null")
+    inside = Window.partitionBy("_slice", *keys).orderBy("_place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = placed.withColumn("_sum", F.sum("_value").over(inside)).withColumn("_group", group)
+    return local.join(F.broadcast(offsets), ["_slice", "_group"], "left").select(
+        *df.columns, (F.col("_sum") + F.coalesce("_offset", F.lit(0))).alias(name)
+    )

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
@@ -5,6 +7,7 @@ from pyspark.sql import functions as F
 from pairspace.functions.text import format_bag, parse_bag
 from pairspace.operators.pairs import noun_pairs
 from pairspace.operators.profile import gold_nouns, gold_profile, histogram
+from pairspace.plans.numbering import running_sums
 from pairspace.plans.storage import shared_root
 from pairspace.sources import corpus, matrix_market, questions, tables
 from pairspace.sources.coref import coref_mentions
@@ -118,3 +121,26 @@ def test_gold_and_histogram(spark):
 def test_shared_folder_is_read_from_the_session(spark):
     named = spark.conf.get("spark.checkpoint.dir", None)
     assert named is None or shared_root(spark) == named
+
+
+def test_running_sums_over_slices(spark):
+    """Groups of one row, of many slices, and null keys."""
+    rng = random.Random(5)
+    given = [(rng.choice(["a", "b", None, "long", "long", "long"]), i, rng.randrange(-3, 4)) for i in range(900)]
+    shuffled = rng.sample(given, len(given))
+    df = spark.createDataFrame(shuffled, "k string, i int, v int").repartition(9)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r.i: r["sum"] for r in running_sums(df, ["k"], ["i"], F.col("v")).collect()}
+        lines = [("big", i, "w (1" if i % 4 == 1 else "w 1)" if i % 4 == 3 else "# no" if i % 4 == 0 else "w -") for i in range(1200)]
+        lines += [("small", i, f"w (2)|(2)|({i}") for i in range(3)] + [("other", 0, "w 5)"), ("other", 1, "w (5"), ("other", 2, "w 5)")]
+        found = coref_mentions(spark.createDataFrame(lines, "doc string, line_no long, value string").repartition(5)).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    so_far, want = {}, {}
+    for k, i, v in given:
+        want[i] = so_far[k] = so_far.get(k, 0) + v
+    assert got == want
+    assert sorted((r.cluster, r.start, r.end) for r in found if r.doc == "big") == sorted(("1", 3 * k + 1, 3 * k + 3) for k in range(300))
+    assert [(r.cluster, r.start, r.end) for r in found if r.doc == "other"] == [("5", 2, 3)]
+    assert sorted((r.cluster, r.start, r.end) for r in found if r.doc == "small") == [("2", 1, 1), ("2", 2, 2), ("2", 3, 3)]
