@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.annotate import dedup_sentences, rule_annotate, split_sentences, spread
-from ..operators.association import association_scores, jobim_rotate
+from ..operators.association import feature_scores, jobim_rotate
 from ..operators.pairs import noun_pairs
 from ..operators.patterns import sentence_patterns
 from ..operators.similarity import cosine_distances
@@ -119,4 +119,4 @@ def sims(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return association_scores(jobim(spark, sf_dir))
+    return feature_scores(feats(spark, sf_dir))

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
@@ -141,3 +143,17 @@ def test_plans_stay_distributed(spark, features):
     assert "SinglePartition, REPARTITION" not in plan and "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     top = association.prune_contexts(spark.createDataFrame([("a", "b", 1.0)], "jo string, bim string, lmi double"), 2)
     assert "WindowGroupLimit" in top._jdf.queryExecution().toString()
+
+
+def test_scores_with_sums_before_the_rotation(spark):
+    rng = random.Random(6)
+    plain = [(rng.choice("abc"), rng.choice("abcd"), rng.choice(["X of Y", "X and Y", "Y for X", "X c Y"])) for _ in range(200)]
+    # a noun that is a pattern, and parts that make strings of different views alike
+    odd = [("a", "b", "X^-1"), ("a", "b", "X"), ("b", "a", "X"), ("@", "b", "a"), ("a::b", "c", "X"), ("a", "X", "Y")]
+    for given in (plain, plain + odd, plain + [("a", "X of Y", "X of Y")], plain[:1], []):
+        df = spark.createDataFrame(given, "noun1 string, noun2 string, pattern string")
+        for totals in ("pooled", "separate"):
+            want = association.association_scores(association.jobim_rotate(df), totals)
+            got = association.feature_scores(df, totals)
+            shown = [tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in rows(want)]
+            assert sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in rows(got)) == sorted(shown)
