@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import pair_text
 from ..plans.numbering import dense_ids
+from .ordered import numbered_records
 
 # Beginnings of lines that belong to no question, and the tag
 # of questions that ask for a noun pair.
@@ -17,9 +18,8 @@ BLOCK_END = "\r\n\r\n"
 
 
 def read_question_blocks(spark: SparkSession, path: str) -> DataFrame:
-    """``(block_no, value)``, one row per blank-line separated block, in file order."""
-    blocks = spark.read.option("lineSep", BLOCK_END).text(path)
-    return blocks.select(F.monotonically_increasing_id().alias("block_no"), "value")
+    """``(block_no, value)``, one row per blank-line separated block, numbered in the order of the files and in them."""
+    return numbered_records(spark, path, BLOCK_END, "block_no")
 
 
 def mcq_clean(blocks: DataFrame) -> DataFrame:

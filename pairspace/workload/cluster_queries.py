@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ..operators import cluster_prep as prep
 from ..operators import evaluate as ev
 from ..operators import matching, whispers
+from ..plans.storage import fresh_path, materialise
+from ..sources import ordered, tables
 from . import views as v
 from .registry import query, r6
 from .sql import view
@@ -313,6 +315,25 @@ def symmetrize(spark, sf):
     return prep.symmetrize(*_ids(spark, sf))
 
 
+@query("graph_export", "graph", sql="""
+    SELECT row_number() OVER (ORDER BY nid1, nid2) AS line_no, concat_ws(chr(9), nid1, nid2, similarity) AS value FROM graph""")
+def graph_export(spark, sf):
+    """The lines of the sorted graph file, numbered as they stand in it."""
+    sims, ids = _ids(spark, sf)
+    ids = materialise(ids, "pair-ids")
+    edges, _ = ordered.write_graph(prep.symmetrize(sims, ids), ids, fresh_path(spark, "graph"))
+    return ordered.numbered_records(spark, edges)
+
+
+@query("pair_dictionary_read", "pair_ids", sql="SELECT id, pair FROM pair_ids")
+def pair_dictionary_read(spark, sf):
+    """The dictionary of the graph, written sorted and read again."""
+    _, ids = _ids(spark, sf)
+    path = fresh_path(spark, "dictionary")
+    ordered.write_sorted(ids, path, ["id"], F.concat_ws("\t", F.col("id").cast("string"), "pair"))
+    return tables.read_dictionary(spark, path)
+
+
 ROUNDS = 6
 
 

@@ -9,7 +9,7 @@ from pairspace.operators.pairs import noun_pairs
 from pairspace.operators.profile import gold_nouns, gold_profile, histogram
 from pairspace.plans.numbering import running_sums
 from pairspace.plans.storage import shared_root
-from pairspace.sources import corpus, matrix_market, questions, tables
+from pairspace.sources import corpus, matrix_market, ordered, questions, tables
 from pairspace.sources.coref import coref_mentions
 from pairspace.sources.json_lines import json_bag, json_map, parse_json_lines
 
@@ -144,3 +144,34 @@ def test_running_sums_over_slices(spark):
     assert sorted((r.cluster, r.start, r.end) for r in found if r.doc == "big") == sorted(("1", 3 * k + 1, 3 * k + 3) for k in range(300))
     assert [(r.cluster, r.start, r.end) for r in found if r.doc == "other"] == [("5", 2, 3)]
     assert sorted((r.cluster, r.start, r.end) for r in found if r.doc == "small") == [("2", 1, 1), ("2", 2, 2), ("2", 3, 3)]
+
+
+def test_order_of_files_and_splits(spark, tmp_path):
+    """The same numbers from one file, from five, and from any size of splits."""
+    lines = [f"line {i}" * (1 + i % 7) for i in range(2000)]
+    (tmp_path / "one.txt").write_text("\n".join(lines) + "\n")
+    (tmp_path / "five").mkdir()
+    for k in range(5):
+        (tmp_path / "five" / f"part-{k}").write_text("\n".join(lines[k * 400 : k * 400 + 400]) + "\n")
+    default = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in (default, "3000", "20000"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            for path in ("one.txt", "five"):
+                got = ordered.numbered_records(spark, str(tmp_path / path)).collect()
+                assert sorted((r.line_no, r.value) for r in got) == [*enumerate(lines, 1)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", default)
+
+
+def test_sorted_export(spark, tmp_path):
+    rng = random.Random(8)
+    edges = [(rng.randrange(30), rng.randrange(1000), i) for i in range(1500)]
+    graph = spark.createDataFrame(edges, "nid1 int, nid2 int, similarity int").dropDuplicates(["nid1", "nid2"]).repartition(7)
+    ids = spark.createDataFrame([(i, f"p{i}") for i in range(30)], "id long, pair string")
+    where, names = ordered.write_graph(graph, ids, str(tmp_path / "out"))
+    parts = sorted((tmp_path / "out" / "graph").glob("part-*"))
+    read = [tuple(map(int, x.split("\t"))) for p in parts for x in p.read_text().splitlines()]
+    assert read == sorted(tuple(r) for r in graph.collect())
+    assert sorted(tuple(r) for r in tables.read_dictionary(spark, names).collect()) == [(i, f"p{i}") for i in range(30)]
+    assert ordered.numbered_records(spark, where).orderBy("line_no").first().value == "\t".join(map(str, read[0]))
