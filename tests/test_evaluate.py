@@ -2,6 +2,7 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 from conftest import rows
 
 from pairspace.operators import evaluate as ev
@@ -139,3 +140,24 @@ def test_sets_and_sizes(spark, both):
     assert rows(ev.label_cluster_coverage(labels, pred, 2)) == [("1", 3, 0, 0), ("2", 4, 2, 1)]
     assert rows(ev.label_cluster_counts(labels, pred, 1)) == [("1", "1", 2), ("1", "2", 1), ("2", "2", 1), ("2", "3", 2)]
     assert {(r.t, r.p): (r.n, r.share) for r in ev.confusion_pct(truth, pred).collect()}["2", "3"] == (2, pytest.approx(2 / 3))
+
+
+def test_expected_mutual_information(spark):
+    """Against the sum over all overlaps; the last sizes make the lowest overlap's probability smaller than a double can be."""
+    from math import exp, lgamma, log
+
+    def expected(sizes_a, sizes_b):
+        n, total = sum(sizes_a), 0.0
+        for a in sizes_a:
+            for b in sizes_b:
+                for k in range(max(1, a + b - n), min(a, b) + 1):
+                    lp = lgamma(a + 1) + lgamma(b + 1) + lgamma(n - a + 1) + lgamma(n - b + 1) - lgamma(n + 1)
+                    lp -= lgamma(k + 1) + lgamma(a - k + 1) + lgamma(b - k + 1) + lgamma(n - a - b + k + 1)
+                    total += k / n * log(k * n / (a * b)) * exp(lp)
+        return total
+
+    for sizes_a, sizes_b in (([3, 2, 2, 1], [4, 4]), ([8], [8]), ([1] * 6, [2, 2, 2]), ([7, 1], [1, 7]), ([5000, 4000, 1000], [6000, 4000])):
+        a = spark.createDataFrame([(x,) for x in sizes_a], "a long")
+        b = spark.createDataFrame([(x,) for x in sizes_b], "b long")
+        got = spark.range(1).select(ev.expected_mutual_information(a, b, a.agg(F.sum("a")).scalar()).alias("e")).first().e
+        assert got == pytest.approx(expected(sizes_a, sizes_b), rel=1e-7, abs=1e-12)
