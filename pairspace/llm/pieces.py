@@ -25,7 +25,7 @@ from .rows import map_rows
 
 MARK = "▁"
 # words remembered by a task, so that its memory is bounded
-REMEMBERED = 300_000
+REMEMBERED = 220_000
 UNIGRAM, BPE = 1, 2
 
 
@@ -216,7 +216,7 @@ class Encoder:
         split = [None if t is None else t.replace(MARK, " ").split(" ") if t else [] for t in texts]
         if len(self.words) > self.remembered:
             self.words.clear()
-        if len(self.pairs) > 4 * self.remembered:
+        if len(self.pairs) > 3 * self.remembered:
             self.pairs.clear()
         self.learn({w for words in split if words for w in words if w} - self.words.keys())
         return [None if w is None else np.frombuffer(self._join(w), np.int32) for w in split]
