@@ -6,12 +6,14 @@ Feature rows are ``(noun1, noun2, pattern, sentence)``.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..plans.numbering import dense_ids
 from ..plans.skew import COLLECT_CHUNK, gather
+from ..plans.storage import fresh_path, materialise
 
 PAIR = ["noun1", "noun2"]
 
@@ -56,14 +58,54 @@ def pairs_of_patterns(features: DataFrame, chunk: int = COLLECT_CHUNK) -> DataFr
     return gather(pair_pattern_frequencies(features), ["pattern"], pair, pair, "pairs", chunk)
 
 
+OUTPUTS = ("sentence", "pair", "pattern", "pair_pattern")
+
+
 def frequencies(features: DataFrame) -> dict[str, DataFrame]:
-    """The four frequency tables; cache ``features`` before writing them all."""
-    return {
-        "sentence": sentence_frequencies(features),
-        "pair": pair_frequencies(features),
-        "pattern": pattern_frequencies(features),
-        "pair_pattern": pair_pattern_frequencies(features),
+    """The four frequency tables, stored; see :func:`store_frequencies`."""
+    return store_frequencies(features)[0]
+
+
+def store_frequencies(features: DataFrame) -> tuple[dict[str, DataFrame], dict[str, int]]:
+    """The four frequency tables from one pass over the features, and counters of that pass.
+
+    The features are read once: each row counts for its pair and pattern and for its sentence and pair, summed up before one
+    shuffle. The four tables are made of these stored counts and written in one go, each row under the name of its output.
+    The counters are metrics of the pass itself: ``features``, and ``incomplete`` of those with a null part. A row
+    counts as it is, nulls included.
+    """
+    seen = Observation("features")
+    parts = [*PAIR, "pattern", "sentence"]
+    lacking = F.count(F.when(reduce(lambda x, y: x | y, [F.col(c).isNull() for c in parts]), 1))
+    watched = features.select(*parts).observe(seen, F.count(F.lit(1)).alias("features"), lacking.alias("incomplete"))
+    sets = [[*PAIR, "pattern"], [*PAIR, "sentence"]]
+    counted = watched.groupingSets([[F.col(c) for c in s] for s in sets], *parts).agg(F.count("*").alias("freq"), F.grouping("pattern").alias("by_sentence"))
+    counted = materialise(counted, "feature-counts")
+    by_pattern, by_sentence = counted.filter("by_sentence = 0"), counted.filter("by_sentence = 1")
+
+    def summed(table: DataFrame, *keys: str) -> DataFrame:
+        return table.groupBy(*keys).agg(F.sum("freq").alias("freq"), F.count("*").alias("n"))
+
+    made = {
+        "sentence": summed(by_sentence, "sentence"),
+        "pair": summed(by_pattern, *PAIR),
+        "pattern": summed(by_pattern, "pattern"),
+        "pair_pattern": by_pattern.select(*PAIR, "pattern", "freq"),
     }
+    tagged = [t.withColumn("output", F.lit(name)) for name, t in made.items()]
+    every = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), tagged)
+    path = fresh_path(features.sparkSession, "frequencies")
+    every.write.partitionBy("output").parquet(path)
+    schema = every.schema
+    renamed = {"sentence": "num_pairs", "pair": "num_patterns", "pattern": "num_pairs"}
+    tables = {}
+    for name in OUTPUTS:
+        # an output without rows has no folder of its own
+        stored = features.sparkSession.read.schema(schema).parquet(path).filter(F.col("output") == name)
+        tables[name] = stored.select(*[F.col(c).alias(renamed.get(name, c) if c == "n" else c) for c in made[name].columns if c != "output"])
+    # of an empty input nothing is observed
+    counters = {k: 0 for k in ("features", "incomplete")} if counted.isEmpty() else seen.get
+    return tables, counters
 
 
 def pair_dictionary(features: DataFrame, min_rows: int = 0, min_patterns: int = 2) -> DataFrame:

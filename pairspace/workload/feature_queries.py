@@ -14,6 +14,7 @@ from ..operators.counts import (
     pattern_frequencies,
     patterns_of_pairs,
     sentence_frequencies,
+    store_frequencies,
 )
 from ..operators.cluster_prep import pair_pattern_entries
 from ..operators.vectors import collect_vectors, context_vectors, explode_vectors, feature_vectors, reindex
@@ -86,6 +87,34 @@ def order_ids(spark, sf):
     return dense_ids(orders, [F.desc("o_totalprice"), "o_orderkey"])
 
 
+@query("frequencies_stored", "feats", "pair_pattern", sql="""
+    SELECT 'pair_pattern' AS output, concat_ws('|', noun1, noun2, pattern) AS item, freq, NULL::BIGINT AS n FROM pair_pattern
+    UNION ALL SELECT 'pair', concat_ws('|', noun1, noun2), sum(freq)::BIGINT, count(*) FROM pair_pattern GROUP BY noun1, noun2
+    UNION ALL SELECT 'pattern', pattern, sum(freq)::BIGINT, count(*) FROM pair_pattern GROUP BY pattern
+    UNION ALL SELECT 'sentence', sentence, count(*), count(DISTINCT (noun1, noun2)) FROM feats GROUP BY sentence""")
+def frequencies_stored(spark, sf):
+    """The four outputs of one pass, one below the other."""
+    stored, _ = store_frequencies(v.feats(spark, sf))
+    shown = [
+        stored[name].select(F.lit(name).alias("output"), F.concat_ws("|", *keys).alias("item"), "freq", (F.col(n) if n else F.lit(None).cast("bigint")).alias("n"))
+        for name, keys, n in (
+            ("pair_pattern", ["noun1", "noun2", "pattern"], None),
+            ("pair", ["noun1", "noun2"], "num_patterns"),
+            ("pattern", ["pattern"], "num_pairs"),
+            ("sentence", ["sentence"], "num_pairs"),
+        )
+    ]
+    return shown[0].unionByName(shown[1]).unionByName(shown[2]).unionByName(shown[3])
+
+
+@query("feature_counter", "feats", sql="""
+    SELECT count(*) AS features, count(*) FILTER (WHERE noun1 IS NULL OR noun2 IS NULL OR pattern IS NULL OR sentence IS NULL) AS incomplete FROM feats""")
+def feature_counter(spark, sf):
+    """What the pass over the features counted on its way."""
+    _, counters = store_frequencies(v.feats(spark, sf))
+    return spark.range(1).select(*[F.lit(n).cast("bigint").alias(name) for name, n in counters.items()])
+
+
 @query("jobim_rotate", "jobim", sql="SELECT jo, bim, cnt FROM jobim")
 def jobim(spark, sf):
     return v.jobim(spark, sf)

@@ -157,3 +157,17 @@ def test_scores_with_sums_before_the_rotation(spark):
             got = association.feature_scores(df, totals)
             shown = [tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in rows(want)]
             assert sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in rows(got)) == sorted(shown)
+
+
+def test_one_pass_four_outputs(spark):
+    given = [*FEATURES, ("dog", None, "X chased Y", "s9"), ("dog", "cat", None, None)]
+    df = spark.createDataFrame(given, "noun1 string, noun2 string, pattern string, sentence string")
+    stored, counters = counts.store_frequencies(df)
+    assert counters == {"features": len(given), "incomplete": 2}
+    for name, single in (
+        ("sentence", counts.sentence_frequencies), ("pair", counts.pair_frequencies),
+        ("pattern", counts.pattern_frequencies), ("pair_pattern", counts.pair_pattern_frequencies),
+    ):
+        assert stored[name].columns == single(df).columns and rows(stored[name]) == rows(single(df))
+    none, counters = counts.store_frequencies(df.limit(0))
+    assert counters["features"] == 0 and all(t.isEmpty() for t in none.values())
