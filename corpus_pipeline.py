@@ -22,8 +22,13 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the grammar, learnt from the labelled ones among them, does not predict to be toxic."""
+    """Documents that the grammar, learnt from the labelled ones among them, does not predict to be toxic.
+
+    Where the labels teach no word, as without labels of both classes, there is nothing to judge by, and all stay.
+    """
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"), "doc_id", "text", "toxic")
+    if not model.lexicon.words and not model.lexicon.stems:
+        return docs
     return toxicity.score(docs, "text", model).filter("predicted = 0").select(*docs.columns)
 
 
