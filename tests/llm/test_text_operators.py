@@ -265,3 +265,14 @@ def test_shingles_of_short_texts():
         for i in range(len(said)):
             for j in range(i):
                 assert len(set(sets[i].tolist()) & set(sets[j].tolist())) == len(wanted[i] & wanted[j])
+
+
+@pytest.mark.parametrize("given", [[], [(1, 1), (2, 1)], [(1, 0), (3, 0)], [(1, None), (None, 1)]])
+def test_labels_of_fewer_than_two_classes(spark, tmp_path, given):
+    """Nothing can be learnt: the stage of the pipeline keeps all."""
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(1, "you fool"), (2, None), (3, ""), (4, "a b c")], "doc_id long, text string")
+    spark.createDataFrame(given, "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    kept = corpus_pipeline.drop_toxic(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns and kept.count() == 4
