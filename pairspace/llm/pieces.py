@@ -298,17 +298,18 @@ def decode(ids: np.ndarray | list[int] | None, v: Vocabulary) -> str | None:
 IDS = T.StructType().add("piece_ids", T.ArrayType(T.IntegerType()))
 
 
-def encode_texts(docs: DataFrame, text: str, model_path: str) -> DataFrame:
+def encode_texts(docs: DataFrame, text: str, model_path: str, remembered: int = REMEMBERED) -> DataFrame:
     """``docs`` with ``piece_ids``, the ids of each whole text.
 
     Null texts give null, empty ones no ids; every row is encoded by itself, so repeated rows repeat, and an empty
     table stays empty. Texts without the mark character decode to themselves. An input column ``piece_ids`` is replaced.
-    The vocabulary, whose size does not depend on the data, is sent to the tasks; nothing is shuffled.
+    The vocabulary, whose size does not depend on the data, is sent to the tasks; nothing is shuffled. A task remembers
+    about ``remembered`` words.
     """
     share = docs.sparkSession.sparkContext.broadcast(vars(Vocabulary.load(model_path)))
 
     def start() -> Callable[..., list[list]]:
-        encoder = Encoder(Vocabulary(**share.value))
+        encoder = Encoder(Vocabulary(**share.value), remembered)
 
         def work(texts: list) -> list[list]:
             out: list = []
