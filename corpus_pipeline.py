@@ -60,8 +60,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with ``piece_ids``."""
-    return pieces.encode_texts(docs, "text", public_tokenizers.path("piece_bpe_32k.model"))
+    """The documents with ``piece_ids``. Few words are remembered: the workers' memory stays taken in the stages that follow in the same session."""
+    return pieces.encode_texts(docs, "text", public_tokenizers.path("piece_bpe_32k.model"), remembered=100_000)
 
 
 STAGES: list[tuple[str, Stage]] = [
