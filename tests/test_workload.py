@@ -37,7 +37,7 @@ def test_query_against_sql(spark, name):
 
 def test_registry():
     assert set(oracle_sql()) <= set(queries())
-    assert set(QUERIES) - set(oracles()) == {"ceaf_mention", "ceaf_entity", "twinless_ceaf", "analogy_predict_cosine"}
+    assert set(QUERIES) - set(oracles()) == {"ceaf_mention", "ceaf_entity", "twinless_ceaf"}
 
 
 @needs_data
