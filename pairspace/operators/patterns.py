@@ -45,7 +45,7 @@ def sentence_graph(
     ``nbrs[i]`` lists the neighbours of token ``i``, ``near[i]`` those of them
     that may stand inside a pattern besides the two nouns (no ``N*`` tag, no full stop;
     ``is_open``), and ``conj`` holds for each ``conj`` edge its two ends and the ``and`` tokens
-    between them. Selection ``NAMEDENTITY`` counts the spans in an array column ``entities``.
+    between them. The work grows with the number of tokens. Selection ``NAMEDENTITY`` counts the spans in an array column ``entities``.
     """
     if selection not in SELECTIONS:
         raise ValueError(f"selection must be one of {sorted(SELECTIONS)}")
@@ -60,46 +60,73 @@ def sentence_graph(
         F.expr(f"transform(tokens, t -> t.pos in {_in_sql_list(nouns)})").alias("is_noun"),
         F.expr("transform(filter(tokens, t -> t.text = 'and'), t -> t.id - 1)").alias("and_ids"),
         F.expr("transform(tokens, t -> t.pos not like 'N%' and t.text != '.')").alias("is_open"),
-        F.expr(
-            """transform(filter(tokens, t -> t.dep = 'conj' and t.head > 0), t -> named_struct(
-                 'ends', array(t.id - 1, t.head - 1),
-                 'ands', transform(
-                    filter(tokens, o -> o.text = 'and' and o.id > least(t.id, t.head) and o.id < greatest(t.id, t.head)),
-                    o -> o.id - 1)))"""
-        ).alias("conj"),
-        # both directions of every edge, in the order of where they start
+        F.expr("transform(filter(tokens, t -> t.dep = 'conj' and t.head > 0), t -> array(t.id - 1, t.head - 1))").alias("joined"),
+        # both directions of every edge and a mark (0) per token, as numbers that sort by where they start
         F.expr(
             """sort_array(array_distinct(flatten(transform(tokens, (t, i) ->
                  if(t.head between 1 and size(tokens) and t.head != i + 1,
-                    array(named_struct('u', i, 'v', t.head - 1), named_struct('u', t.head - 1, 'v', i)),
-                    array())))))"""
+                    array(shiftleft(bigint(i), 32), shiftleft(bigint(i), 32) + t.head, shiftleft(bigint(t.head - 1), 32) + i + 1),
+                    array(shiftleft(bigint(i), 32)))))))"""
         ).alias("edges"),
     )
     # lists that lambdas below read must not be computed once more for each token
     starts = with_column_once(
-        listed, "e", F.expr("named_struct('us', edges.u, 'vs', edges.v, 'back', reverse(edges.u))")
-    ).select(*[c for c in listed.columns if c != "edges"], "e.*")
-    # the edges that start at a token stand together
-    spread = starts.withColumn(
-        "nbrs",
+        listed,
+        "e",
         F.expr(
-            """transform(words, (w, i) -> if(array_contains(us, i),
-                 slice(vs, cast(array_position(us, i) as int),
-                       cast(size(us) - array_position(back, i) + 2 - array_position(us, i) as int)),
-                 slice(vs, 1, 0)))"""
+            """named_struct(
+                 'vs', transform(edges, e -> int(e & 4294967295L) - 1),
+                 'marks', filter(transform(edges, (e, k) -> if((e & 4294967295L) = 0, k, -1)), k -> k >= 0),
+                 'conj', transform(joined, c -> named_struct('ends', c, 'ands', filter(and_ids, o -> o > array_min(c) and o < array_max(c)))))"""
         ),
+    ).select(*[c for c in listed.columns if c not in ("edges", "joined")], "e.*")
+    # the edges that start at a token stand between its mark and the next one
+    linked = starts.withColumn(
+        "nbrs", F.expr("transform(marks, (k, i) -> slice(vs, k + 2, coalesce(get(marks, i + 1), size(vs)) - k - 1))")
     )
-    graph = spread.withColumns(
+    graph = linked.withColumns(
         {
             "near": F.expr("transform(nbrs, ns -> filter(ns, v -> is_open[v]))"),
             # a token without any edge lets the two nouns alone pass the size test
             "smallest": F.expr("if(exists(nbrs, ns -> size(ns) = 0), 2, 3)"),
         }
-    ).drop("us", "vs", "back")
+    ).drop("vs", "marks")
     made = [c for c in graph.columns if c not in (*keep, "text")]
     return with_column_once(graph.select(*keep, "text", *made), "g", F.struct(*made)).select(*keep, "text", "g.*")
 
 
+def _around(graph: DataFrame, starts: str, max_tokens: int, keep: dict[str, str], also: Sequence[str] = ()) -> DataFrame:
+    """One row per start ``x`` with the part of the graph that a pattern from there can touch.
+
+    Patterns stay within ``max_tokens - 1`` edges of ``x``, so the rows that walks and sets multiply are as small as that part,
+    however long the sentence is. Tokens are numbered anew in their order. ``keep`` gives further fields as SQL text, which may
+    name ``x`` and ``part``, the sorted old places of the kept tokens; ``also`` names further lists with an entry per token.
+    """
+
+    def placed(places: str) -> str:
+        return f"transform({places}, v -> int(array_position(part, v)) - 1)"
+
+    lists = ["words", "lemmas", "is_noun", "is_open", *also]
+    fields = {
+        "x": "int(array_position(part, x)) - 1",
+        **{name: f"transform(part, i -> {name}[i])" for name in lists},
+        **{name: f"transform(part, i -> {placed(f'array_intersect({name}[i], part)')})" for name in ("nbrs", "near")},
+        "and_ids": placed("array_intersect(and_ids, part)"),
+        "conj": f"""transform(filter(conj, c -> array_contains(part, c.ends[0]) and array_contains(part, c.ends[1])),
+            c -> named_struct('ends', {placed('c.ends')}, 'ands', {placed('array_intersect(c.ands, part)')}))""",
+        **keep,
+    }
+    ball = f"aggregate(sequence(2, {max_tokens}), array(x), (acc, k) -> array_union(acc, flatten(transform(acc, i -> nbrs[i]))))"
+    # the words between the ends of a conjunction join a set without an edge
+    between = "flatten(transform(filter(conj, c -> array_contains(ball, c.ends[0]) and array_contains(ball, c.ends[1])), c -> c.ands))"
+    whole = f"sort_array(if(size(conj) = 0, ball, array_union(ball, {between})))"
+    cut = "named_struct(" + ", ".join(f"'{name}', {value}" for name, value in fields.items()) + ")"
+    # transforming a one-element array binds its element to a name
+    one = f"transform(array({ball}), ball -> transform(array({whole}), part -> {cut})[0])[0]"
+    carried = [c for c in graph.columns if c in ("text", "smallest", "noun1", "noun2")]
+    return graph.select(*carried, F.explode(F.expr(f"transform({starts}, x -> {one})")).alias("p")).select(*carried, "p.*")
+
+
 def _walk(df: DataFrame, target: str, max_tokens: int) -> DataFrame:
     """Paths from token ``x`` over open tokens to a target token ``y``.
 
@@ -217,7 +244,8 @@ def subtree_patterns(corpus: DataFrame, selection: str = "NOUN", max_tokens: int
     # most rows end here, before the costly graph
     paired = with_column_once(corpus.filter("noun1 is not null and noun2 is not null"), "hits", F.expr(hits))
     graph = sentence_graph(paired.filter(F.size("hits") == 2), selection, keep=["noun1", "noun2", "hits"])
-    ends = graph.withColumns({"x": F.expr("hits[0]"), "y": F.expr("hits[1]")})
+    # a noun that is not in reach gets no place
+    ends = _around(graph, "array(hits[0])", max_tokens, {"y": "int(array_position(part, hits[1])) - 1"}).filter("y >= 0")
     return _patterns(ends, "v = y", max_tokens)
 
 
@@ -230,12 +258,27 @@ def sentence_patterns(
     connects are never formed. Gives the rows that pairing all nouns first
     would give.
     """
-    starts = sentence_graph(parses, selection, tags)
+    graph = sentence_graph(parses, selection, tags)
+    # how often each token's lemma occurs: sorted by lemma, equal ones stand together
+    by_lemma = with_column_once(graph, "by_lemma", F.expr("sort_array(transform(lemmas, (l, i) -> named_struct('l', l, 'i', i)))"))
+    runs = with_column_once(
+        by_lemma,
+        "runs",
+        F.expr("filter(transform(by_lemma, (e, k) -> if(k = 0 or not (e.l <=> get(by_lemma, k - 1).l), k, -1)), k -> k >= 0)"),
+    )
+    counted = with_column_once(
+        runs,
+        "uses",
+        F.expr(
+            """transform(sort_array(flatten(transform(
+                 transform(runs, (k, r) -> slice(by_lemma, k + 1, coalesce(get(runs, r + 1), size(by_lemma)) - k)),
+                 same -> transform(same, e -> named_struct('i', e.i, 'n', size(same)))))), e -> e.n)"""
+        ),
+    ).drop("by_lemma", "runs")
     # a lemma counts only in lower case, and may not occur a third time
     pair_once = """y_end > x and lower(lemmas[x]) = lemmas[x] and lower(lemmas[y_end]) = lemmas[y_end]
-        and (size(lemmas) - size(array_remove(lemmas, lemmas[x])))
-            + if(lemmas[x] = lemmas[y_end], 0, size(lemmas) - size(array_remove(lemmas, lemmas[y_end]))) = 2"""
-    return _patterns(starts.withColumn("x", F.explode("noun_ids")), "is_noun[v]", max_tokens, pair_once)
+        and uses[x] + if(lemmas[x] = lemmas[y_end], 0, uses[y_end]) = 2"""
+    return _patterns(_around(counted, "noun_ids", max_tokens, {}, ["uses"]), "is_noun[v]", max_tokens, pair_once)
 
 
 def _patterns(starts: DataFrame, target: str, max_tokens: int, wanted: str = "true") -> DataFrame:

@@ -270,3 +270,15 @@ def test_row_operators_accept_a_stream(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert spark.table("streamed").filter("noun1 = 'dog'").count() > 0
+
+
+def test_a_sentence_of_many_thousand_tokens(spark):
+    """On a chain a connected set is a run of tokens: count the runs that hold two nouns and nothing shut."""
+    name = str.maketrans("0123456789", "abcfghjkmo")
+    words = ["of" if i % 4 in (1, 2) and i % 7 else "w" + str(i).translate(name) for i in range(6_000)]
+    nouns = [w != "of" for w in words]
+    runs = sum(
+        1 for at in range(len(words)) for size in range(3, 7) if at + size <= len(words) and sum(nouns[at : at + size]) == 2
+    )
+    parsed = rule_annotate(spark.createDataFrame([(1, " ".join(words))], "sid long, text string"))
+    assert sentence_patterns(parsed).count() == runs > 3_000
