@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -71,3 +73,32 @@ def format_bag(entries: Column) -> Column:
         F.array_join(F.transform(entries, lambda e: F.concat(F.lit("("), e["idx"], F.lit(","), e["value"], F.lit(")"))), ","),
         F.lit("}"),
     )
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` where ``value`` is computed once, however often ``use`` names it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def running_starts(lengths: Column, block: int = 64) -> Column:
+    """For an array of integers the sums of what stands before each element.
+
+    An array grows by copying; so sums run within blocks, and from block to block, which keeps long arrays cheap.
+    """
+
+    def sums(values: Column, first: Column) -> Column:
+        return F.aggregate(values, F.array(first), lambda acc, x: F.array_append(acc, F.element_at(acc, -1) + x))
+
+    def joined(blocks: Column) -> Column:
+        totals = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda acc, x: acc + x))
+        return bound(
+            sums(totals, F.lit(0)),
+            lambda offsets: F.flatten(F.transform(blocks, lambda b, k: F.slice(sums(b, offsets[k]), F.lit(1), F.size(b)))),
+        )
+
+    def in_blocks(values: Column) -> Column:
+        last = F.greatest(F.size(values) - 1, F.lit(0))
+        starts = F.sequence(F.lit(0), F.floor(last / block).cast("int"))
+        return bound(F.transform(starts, lambda k: F.slice(values, k * block + 1, F.lit(block))), joined)
+
+    return bound(lengths, in_blocks)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import is_tagged_common_noun, sanitize
+from ..operators.annotate import sentence_spans, span_annotate
 from ..operators.pairs import filter_thesaurus, noun_pairs, pair_sentences, subcorpus, subcorpus_pairs
 from ..operators.patterns import entity_head, shortest_path_patterns, span_patterns, subtree_patterns
 from ..plans.storage import materialise
@@ -40,6 +41,35 @@ def rule_annotate(spark, sf):
     )
 
 
+# a token is read back from the text by its place
+@query("token_spans", sql=r"""
+    WITH found AS (
+      SELECT doc_id, text, unnest(regexp_extract_all(text, '[\p{L}\p{M}]+|\p{N}+|[^\p{L}\p{M}\p{N}\p{Z}\x09-\x0D]')) AS tok,
+             unnest(regexp_split_to_array(text, '[\p{L}\p{M}]+|\p{N}+|[^\p{L}\p{M}\p{N}\p{Z}\x09-\x0D]')) AS gap,
+             generate_subscripts(regexp_split_to_array(text, '[\p{L}\p{M}]+|\p{N}+|[^\p{L}\p{M}\p{N}\p{Z}\x09-\x0D]'), 1) AS nr
+      FROM documents),
+    placed AS (
+      SELECT doc_id, text, length(tok) AS long,
+             sum(length(gap)) OVER w + sum(length(tok)) OVER w - length(tok) AS first
+      FROM found WHERE tok IS NOT NULL WINDOW w AS (PARTITION BY doc_id ORDER BY nr)),
+    read AS (SELECT doc_id, first::BIGINT AS "begin", (first + long)::BIGINT AS "end", substring(text, first::BIGINT + 1, long) AS token FROM placed)
+    SELECT doc_id, "begin", "end", token,
+           CASE WHEN token IN ('.', '!', '?') THEN '.' WHEN regexp_matches(token, '^\p{N}') THEN 'CD'
+                WHEN regexp_matches(token, '^[\p{L}\p{M}]') THEN 'word' ELSE 'SYM' END AS kind
+    FROM read""")
+def token_spans(spark, sf):
+    """Words, numbers and symbols of all documents, by way of their sentences, with places in the document."""
+    tokens = span_annotate(sentence_spans(v.table(spark, sf, "documents"))).select("doc_id", "begin", F.explode("tokens").alias("t"))
+    kind = F.when(F.col("t.text").rlike(r"^[\p{L}\p{M}]"), "word").otherwise(F.col("t.pos"))
+    return tokens.select(
+        "doc_id",
+        (F.col("begin") + F.col("t.begin")).cast("bigint").alias("begin"),
+        (F.col("begin") + F.col("t.end")).cast("bigint").alias("end"),
+        F.col("t.text").alias("token"),
+        kind.alias("kind"),
+    )
+
+
 @query("noun_pairs", "pairs", sql="""
     SELECT noun1, count(*) AS n, count(DISTINCT noun2) AS n_partners, min(noun2) AS first_partner, max(noun2) AS last_partner,
            min(sid) AS min_sid, max(sid) AS max_sid

@@ -7,7 +7,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from pairspace.operators.annotate import TOKEN_SCHEMA, annotate, dedup_sentences, rule_annotate, split_sentences
+from pairspace.operators.annotate import TOKEN_SCHEMA, annotate, dedup_sentences, rule_annotate, sentence_spans, span_annotate, split_sentences
 from pairspace.operators.pairs import filter_thesaurus, noun_pairs, subcorpus
 from pairspace.operators.patterns import (
     entity_head,
@@ -230,6 +230,26 @@ def test_sentences_and_rules(spark):
     assert tokens[0] == [("The", "the", "DT", 2, "next"), ("dogs", "dog", "NNS", 3, "next"), ("barked", "bark", "VBD", 0, "ROOT")]
 
 
+def test_tokens_with_places(spark):
+    texts = ["  It cost 3.50 (net)! Höhe: 12 m\u00b2\n\n\U0001F600 ok", "", None, " \t\n", "...", "a" + " b.c" * 500]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = span_annotate(sentence_spans(docs)).collect()
+    by_doc = {}
+    for r in sorted(got, key=lambda r: (r.doc_id, r.pos)):
+        whole = texts[r.doc_id]
+        assert whole[r.begin : r.begin + len(r.text)] == r.text
+        for t in r.tokens:
+            assert r.text[t.begin : t.end] == t.text
+            by_doc.setdefault(r.doc_id, []).append((t.text, t.pos))
+    # everything visible is in a token
+    assert all("".join(w for w, _ in by_doc.get(i, [])) == "".join((t or "").split()) for i, t in enumerate(texts))
+    assert by_doc[0][:9] == [("It", "DT"), ("cost", "NN"), ("3", "CD"), (".", "."), ("50", "CD"), ("(", "SYM"), ("net", "NN"), (")", "SYM"), ("!", ".")]
+    assert set(by_doc) == {0, 4, 5} and len(by_doc[5]) == 1501
+    # the sentence as a whole: a full stop is a token that no pattern crosses
+    parsed = span_annotate(spark.createDataFrame([(1, "dog of cat"), (2, "dog . cat"), (3, "dog, cat")], "sid int, text string"))
+    assert rows(sentence_patterns(parsed), "pattern") == [("X , Y",), ("X of Y",)]
+
+
 def test_user_annotator(spark):
     import pandas as pd
     from pyspark.sql import functions as F
