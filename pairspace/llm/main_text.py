@@ -45,10 +45,14 @@ CLOSED_BY_LIKE = {
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",),
 }
 SCOPES = frozenset("table ul ol dl body html div section article aside main nav form".split())
-TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>|</?[a-zA-Z][^>]*\Z|[^<]+|<", re.S
-)
-ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+# a quote or a blank ends a value only as the HTML standard has it: quotes count right after the equals sign alone
+_VALUE = r"\"[^\"]*\"|'[^']*'|([^\s>\"'][^\s>]*+)|(?=>)"
+_INSIDE = rf"(?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:{_VALUE})|(?!\s*+=)))*+"
+# the last but two: a tag that never ends takes the rest of the page with it
+TAG = re.compile(rf"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)({_INSIDE})>|</?[a-zA-Z].*\Z|[^<]+|<", re.S)
+ATTRIBUTE = re.compile(r"([^\s/>=]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"'][^\s>]*))")
+# in these a slash before the end of a start tag closes the element
+FOREIGN = ("svg", "math")
 NAME_PART = re.compile(r"[a-z]+")
 LEGAL = re.compile("©|copyright|all rights reserved|\\bcookies?\\b", re.I)
 
@@ -142,7 +146,9 @@ def leaf_blocks(page: str, known: frozenset[str] | None = None) -> list[Block]:
                 close(like, True)
         elif tag == "br":
             said.append(" ")
-        if tag in VOID or m.group(3).endswith("/"):
+        # a slash closes nothing in HTML itself, nor as the last character of a value
+        slash = m.group(3).endswith("/") and m.end(4) != m.end(3)
+        if tag in VOID or (slash and (tag in FOREIGN or any(open_tags[t] for t in FOREIGN))):
             continue
         parent = stack[-1]
         own, is_main = {f"in:{tag}"}, parent.is_main
@@ -161,7 +167,7 @@ def leaf_blocks(page: str, known: frozenset[str] | None = None) -> list[Block]:
         stack.append(_Open(tag, inherited | kept, parent.silent or tag in SILENT, is_main))
         open_tags[tag] += 1
         if tag in RAW:
-            stop = re.compile(f"</{tag}", re.I).search(page, pos)
+            stop = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, pos)
             pos = stop.start() if stop else end
     flush()
     return blocks

@@ -276,3 +276,28 @@ def test_labels_of_fewer_than_two_classes(spark, tmp_path, given):
     spark.createDataFrame(given, "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     kept = corpus_pipeline.drop_toxic(spark, docs, str(tmp_path))
     assert kept.columns == docs.columns and kept.count() == 4
+
+
+def test_start_tags_as_the_standard_reads_them():
+    said = lambda page: [b.text for b in main_text.leaf_blocks(page)]
+    # a stray quote is part of a name, not of the text
+    assert said('<p class="x"">Hello there</p>') == ["Hello there"]
+    assert said("<p title=\"it's 5\" tall\">Hi</p>") == ["Hi"]
+    assert said('<p ="q>r">t</p>') == ['r">t']
+    # a slash ends neither a script nor a value
+    assert said("<script src=https://x.org/>var secret=1;</script><p>a") == ["a"]
+    assert said('<script src="a.js"/>var secret=1;</script><p>b') == ["b"]
+    assert said("<script>if (a </scripty) {}</script>w") == ["w"]
+    (block,) = main_text.leaf_blocks("<div class=content/>text</div>")
+    assert "is:content" in block.features
+    (block,) = main_text.leaf_blocks("<a href=/>link</a>")
+    assert "in:a" in block.features
+    # but it closes elements of drawings and formulas
+    assert said('<p>x<svg><path d="M0"/><g/></svg> y</p>') == ["x y"]
+    assert said("<p>x <math/> y</p>") == ["x y"]
+    # values with blanks around the sign, in either quotes, without any; a tag that never ends
+    assert [said(f"<p a {v}>e</p>") for v in ("b='c>d'", 'b = "c>d"', "b=", "b = c'd")] == [["e"]] * 4
+    assert said('<p>ok</p><p a="never closed>gone</p>') == ["ok"] and said("<p>ok</p><b c") == ["ok"]
+    assert said("<p>1 < 2 and <3</p>") == ["1 < 2 and <3"]
+    # long rows of quotes and slashes are read once
+    assert said("<p " + "\"'/= " * 100_000 + ">e</p>") == []
