@@ -299,5 +299,5 @@ def test_start_tags_as_the_standard_reads_them():
     assert [said(f"<p a {v}>e</p>") for v in ("b='c>d'", 'b = "c>d"', "b=", "b = c'd")] == [["e"]] * 4
     assert said('<p>ok</p><p a="never closed>gone</p>') == ["ok"] and said("<p>ok</p><b c") == ["ok"]
     assert said("<p>1 < 2 and <3</p>") == ["1 < 2 and <3"]
-    # long rows of quotes and slashes are read once
-    assert said("<p " + "\"'/= " * 100_000 + ">e</p>") == []
+    # many quotes, slashes and signs are names
+    assert said("<p " + "\"'/= " * 100_000 + ">e</p>") == ["e"]
