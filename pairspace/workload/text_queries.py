@@ -159,12 +159,60 @@ def span_patterns_counted(spark, sf):
     WHERE id BETWEEN first AND last AND n > 1 GROUP BY sid""")
 def entity_heads(spark, sf):
     """Head of the span from the first to the last noun of each sentence."""
-    parses = _stored_parses(spark, sf)
+    return entity_head(*_noun_spans(_stored_parses(spark, sf)))
+
+
+def _noun_spans(parses):
+    """The span from the first to the last noun of each sentence, and the parses."""
     nouns = F.filter("tokens", lambda t: t["pos"].isin("NN", "NNS"))
     spans = parses.select(
         "sid", F.lit(1).alias("span"), F.get(nouns, F.lit(0))["id"].alias("first"), F.get(nouns, F.size(nouns) - 1)["id"].alias("last")
     ).filter(F.col("first").isNotNull())
-    return entity_head(spans, parses)
+    return spans, parses
+
+
+# Heads as in a binary tree (token n hangs on token n div 2), so that paths branch; labels by number
+_AS_TREE = """transform(tokens, t -> named_struct('id', t.id, 'text', t.text, 'lemma', t.lemma, 'pos', t.pos, 'head', int(t.id div 2),
+    'dep', case t.id % 5 when 0 then 'pobj' when 1 then 'cc' when 2 then 'conj' else 'dep' end))"""
+
+
+@query("shortest_path_tree", "pairs", "wanted", "toks", sql=f"""
+    SELECT * FROM (WITH {_HITS.strip()},
+    up AS (SELECT sid, noun1, noun2, xi, yi, unnest(range(32)) AS k FROM hits),
+    tops AS (
+      SELECT x.sid, x.noun1, x.noun2, x.xi, x.yi, max(x.xi >> x.k) AS top
+      FROM up x JOIN up y ON x.sid = y.sid AND x.noun1 = y.noun1 AND x.noun2 = y.noun2 AND (x.xi >> x.k) = (y.yi >> y.k) AND (x.xi >> x.k) > 0
+      GROUP BY ALL),
+    steps AS (
+      SELECT t.*, t.xi >> k AS at, k AS place FROM tops t, range(1, 32) r(k) WHERE (t.xi >> k) >= top AND (t.xi >> k) <> yi
+      UNION ALL SELECT t.*, t.yi >> k, 100 - k FROM tops t, range(1, 32) r(k) WHERE (t.yi >> k) > top),
+    paths AS (
+      SELECT s.sid, noun1, noun2, string_agg(w.low, ' ' ORDER BY place) AS path
+      FROM steps s JOIN toks w ON w.sid = s.sid AND w.id = s.at GROUP BY ALL),
+    told AS (
+      SELECT a.lemma AS noun1, b.lemma AS noun2, a.sentence, coalesce(path, '') AS path,
+             CASE WHEN xi % 5 = 0 AND top = xi THEN g.tok || ' ' ELSE '' END AS before_x,
+             CASE WHEN (2 * xi + 1) % 5 = 1 AND d.tok IS NOT NULL THEN d.tok WHEN (2 * xi) % 5 = 1 AND c.tok IS NOT NULL THEN c.tok ELSE '' END AS after_x
+      FROM tops t LEFT JOIN paths USING (sid, noun1, noun2)
+      JOIN toks a ON a.sid = t.sid AND a.id = xi JOIN toks b ON b.sid = t.sid AND b.id = yi
+      LEFT JOIN toks g ON g.sid = t.sid AND g.id = xi >> 1
+      LEFT JOIN toks c ON c.sid = t.sid AND c.id = 2 * xi LEFT JOIN toks d ON d.sid = t.sid AND d.id = 2 * xi + 1)
+    SELECT noun1, noun2, before_x || 'X ' || after_x || CASE WHEN path <> '' AND after_x <> '' THEN ' ' ELSE '' END || path || ' Y' AS pattern, sentence
+    FROM told WHERE path <> '' OR after_x <> '')""")
+def shortest_path_tree(spark, sf):
+    """Paths over a common ancestor, with governors by ``pobj`` and ``cc`` words."""
+    corpus = subcorpus(_stored_parses(spark, sf), v.wanted(spark, sf))
+    return shortest_path_patterns(corpus.withColumn("tokens", F.expr(_AS_TREE)))
+
+
+@query("entity_head_tree", "toks", sql="""
+    SELECT sid, 1 AS span, max_by(id, (CASE WHEN id > 1 THEN 1 ELSE 0 END + CASE WHEN 2 * id <= n THEN 1 ELSE 0 END
+                                       + CASE WHEN 2 * id + 1 <= n THEN 1 ELSE 0 END) * 1000000 + id) AS head
+    FROM toks JOIN (SELECT sid, min(id) AS first, max(id) AS last FROM toks WHERE pos IN ('NN', 'NNS') GROUP BY sid) USING (sid)
+    WHERE id BETWEEN first AND last AND n > 1 GROUP BY sid""")
+def entity_heads_tree(spark, sf):
+    """The same spans where tokens have up to three dependencies."""
+    return entity_head(*_noun_spans(materialise(v.parses(spark, sf).withColumn("tokens", F.expr(_AS_TREE)), "parses")))
 
 
 _THESAURUS = """

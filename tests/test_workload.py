@@ -10,7 +10,7 @@ from pairspace.workload.registry import QUERIES, oracles
 
 SF_DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
-NAMES = ["token_spans", "chinese_whispers", "similar_pairs", "relation_scores", "ceaf_entity_regions", "coref_mentions", "graph_export", "rule_annotate", "subtree_patterns", "freq_pair", "association_star", "cosine_pairs", "b_cubed", "thesaurus_topn", "gold_profile"]
+NAMES = ["token_spans", "shortest_path_tree", "entity_head_tree", "chinese_whispers", "similar_pairs", "relation_scores", "ceaf_entity_regions", "coref_mentions", "graph_export", "rule_annotate", "subtree_patterns", "freq_pair", "association_star", "cosine_pairs", "b_cubed", "thesaurus_topn", "gold_profile"]
 
 needs_data = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")
 
