@@ -302,3 +302,19 @@ def test_a_sentence_of_many_thousand_tokens(spark):
     )
     parsed = rule_annotate(spark.createDataFrame([(1, " ".join(words))], "sid long, text string"))
     assert sentence_patterns(parsed).count() == runs > 3_000
+
+
+def test_token_sets_are_no_chain_of_wide_rows(spark):
+    """Paths and sets are lengthened in one pass, not by a row per step that carries the sentence along; two heads may name each other."""
+    df = paired(spark, ("dog", "cat", DOG))
+    plan = sentence_patterns(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate") == 0 and plan.count("MapInArrow") == 1
+    mutual = [(1, "dog", "dog", "NN", 2, "a"), (2, "sees", "see", "VB", 1, "b"), (3, "cat", "cat", "NN", 2, "c"), (4, "", "", None, None, None)]
+    assert patterns(sentence_patterns(paired(spark, ("dog", "cat", mutual)))) == ["X sees Y"]
+
+
+def test_the_path_between_near_tokens_of_a_very_long_chain(spark):
+    """Climbing to the root of a chain of 40,000 tokens copied as many places for each of them."""
+    chain = [(i, f"w{i}", f"w{i}", "NN" if i in (3, 5) else "IN", i + 1 if i < 40_000 else 0, "next") for i in range(1, 40_001)]
+    apart = [(1, "dog", "dog", "NN", 0, "ROOT"), (2, "cat", "cat", "NN", 0, "ROOT")]
+    assert patterns(shortest_path_patterns(paired(spark, ("w3", "w5", chain), ("dog", "cat", apart), (None, "w5", chain)))) == ["X w4 Y"]
