@@ -161,3 +161,34 @@ def test_expected_mutual_information(spark):
         b = spark.createDataFrame([(x,) for x in sizes_b], "b long")
         got = spark.range(1).select(ev.expected_mutual_information(a, b, a.agg(F.sum("a")).scalar()).alias("e")).first().e
         assert got == pytest.approx(expected(sizes_a, sizes_b), rel=1e-7, abs=1e-12)
+
+
+def test_few_clusters_on_one_side_need_no_auction(spark, monkeypatch):
+    """A graph of 12 and 300 clusters is matched in one task after one round of certain matches."""
+    import pandas as pd
+
+    rng = random.Random(5)
+    edges = [(f"t{i}", f"p{j}", 1.0 / rng.randint(2, 9)) for i in range(300) for j in range(12)]
+    df = spark.createDataFrame(edges, "t string, p string, w double")
+    assert matching.heaviest_enough(df, 300, 12).count() == 12 * 12
+    small = edges[: 12 * 30]
+    expected = matching._solve(pd.DataFrame(small, columns=["t", "p", "w"]), False)["total"][0]
+    monkeypatch.setattr(matching, "_auctioned", lambda *_: pytest.fail("an auction"))
+    assert matching.best_matching(spark.createDataFrame(small, df.schema), local_edges=8).first()[0] == pytest.approx(expected, abs=1e-6)
+
+
+def test_auction_of_many_clusters(spark):
+    rng = random.Random(7)
+    table = random_table(rng, True)
+    df = spark.createDataFrame([(f"t{i}", f"p{j}", w) for (i, j), w in table.items()], "t string, p string, w double")
+    assert matching.best_matching(df, True, local_edges=1, narrow=0).first()[0] == pytest.approx(heaviest(table), abs=1e-6)
+
+
+def test_shortest_paths_in_one_task():
+    import pandas as pd
+
+    rng = random.Random(6)
+    for k in range(300):
+        table = random_table(rng, k % 2 == 0) or {(0, 0): 1.0}
+        part = pd.DataFrame([(str(a), str(b), w) for (a, b), w in table.items()], columns=["t", "p", "w"])
+        assert matching._by_paths(part)["total"][0] == pytest.approx(heaviest(table), abs=1e-9)
