@@ -6,7 +6,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from pairspace.operators.similarity import equal_vectors, indexed_entries, similar_pairs
+from pairspace.operators import similarity
+from pairspace.operators.similarity import candidate_pairs, cosine_distances, equal_vectors, indexed_entries, similar_pairs
 from pairspace.plans.skew import shared_group_pairs
 
 
@@ -54,3 +55,28 @@ def test_equal_vectors(spark):
     rows = [(1, "a", 1.0), (1, "b", 2.0), (2, "b", 2.0), (2, "a", 1.0), (3, "a", 2.0), (3, "b", 1.0), (4, "a", 1.0), (0, "a", 1.0)]
     got = equal_vectors(spark.createDataFrame(rows, "id long, idx string, value double"))
     assert {r.id: r["first"] for r in got.collect()} == {0: 0, 1: 1, 2: 1, 3: 3, 4: 0}
+
+
+@pytest.mark.parametrize("long_vector", [3, 10_000])
+def test_all_pairs(spark, monkeypatch, long_vector):
+    """Every pair that shares a feature, with small groups, tasks and shares as with large ones; entries may repeat."""
+    monkeypatch.setattr(similarity, "LONG_VECTOR", long_vector)
+    monkeypatch.setattr(similarity, "TASK_PAIRS", 500)
+    vectors = some_vectors(4, n=80)
+    entries = [(i, f, v) for i, e in vectors.items() for f, v in e.items()]
+    df = spark.createDataFrame([*entries, (None, 1, 1.0), (1, None, 1.0), (7, 24, 1.0), (7, 24, 1.0)], "id long, idx int, value double")
+    vectors[7][24] = vectors[7].get(24, 0.0) + 2.0
+    expected = {(a, b) for a in vectors for b in vectors if a >= b and vectors[a].keys() & vectors[b].keys()}
+    found = [tuple(r) for r in candidate_pairs(df, chunk=10).collect()]
+    assert sorted(found) == sorted(expected)
+    apart = {r[:2]: r[2] for r in map(tuple, cosine_distances(df, skip_value=None, chunk=10).collect())}
+    assert apart.keys() == expected
+    assert all(abs(1 - d - cosine(vectors[a], vectors[b])) < 1e-9 for (a, b), d in apart.items() if 7 not in (a, b) and 500 not in (a, b))
+
+
+def test_pairs_are_formed_after_the_shuffle(spark):
+    """The pairs of vectors are summed in the tasks that form them: no exchange stands above the explode."""
+    df = spark.createDataFrame([(i, j, 1.0) for i in range(30) for j in range(5)], "id long, idx int, value double")
+    plan = candidate_pairs(df)._jdf.queryExecution().executedPlan().toString()
+    top = plan.split("Generate explode(arrays_zip")[0]
+    assert "Generate explode(arrays_zip" in plan and "Exchange" not in top
