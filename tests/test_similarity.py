@@ -40,6 +40,33 @@ def test_similar_pairs(spark, least):
     assert all(abs(s - cosine(vectors[a], vectors[b])) < 1e-9 for (a, b), s in got.items())
 
 
+@pytest.mark.parametrize(("least", "crowd", "block", "groups"), [(0.3, 1, 13, 4), (0.8, 3, 1000, 1), (0.95, 16, 30, 1024)])
+def test_similar_pairs_in_blocks(spark, monkeypatch, least, crowd, block, groups):
+    """Vectors that meet many others are compared in blocks, with few dense columns too; the rest still meets them."""
+    monkeypatch.setattr(similarity, "OWN", groups)
+    monkeypatch.setattr(similarity, "SHARED", groups)
+    monkeypatch.setattr(similarity, "ROWS_AT_ONCE", 7)
+    vectors = some_vectors(7)
+    df = spark.createDataFrame([(f"k{i}", f, v) for i, e in vectors.items() for f, v in e.items()], "id string, idx int, value double")
+    sure = {frozenset((f"k{a}", f"k{b}")) for a in vectors for b in vectors if a > b and cosine(vectors[a], vectors[b]) > least + 1e-9}
+    maybe = {frozenset((f"k{a}", f"k{b}")) for a in vectors for b in vectors if a > b and cosine(vectors[a], vectors[b]) >= least - 1e-9}
+    rows = similar_pairs(df, least, crowd=crowd, block=block).collect()
+    got = {frozenset((r["row"], r["col"])): r["similarity"] for r in rows}
+    assert len(rows) == len(got) and sure <= got.keys() <= maybe
+    assert all(r["row"] > r["col"] for r in rows)
+    assert all(abs(s - cosine(*(vectors[int(k[1:])] for k in pair))) < 1e-9 for pair, s in got.items())
+
+
+def test_crowded_features_form_no_pairs_in_a_join(spark, monkeypatch):
+    """Every vector indexes the same feature: joined there, they would form the square of their number."""
+    formed = []
+    monkeypatch.setattr(similarity, "shared_group_pairs", lambda *a, **k: formed.append(shared_group_pairs(*a, **k)) or formed[-1])
+    rows = [(i, f, w) for i in range(400) for f, w in ((0, 1.0), (1 + i, 1.0))]
+    df = spark.createDataFrame(rows, "id long, idx int, value double")
+    assert similar_pairs(df, 0.4).count() == 400 * 399 // 2
+    assert formed[0].count() == 0
+
+
 def test_common_features_form_no_pairs(spark):
     """Every vector has the two common features, which carry nearly half of its length: they are not indexed."""
     rows = [(i, f, w) for i in range(600) for f, w in ((0, 3.0), (1, 2.0), (10 + i // 2, 4.0), (1000 + i, 1.0))]
