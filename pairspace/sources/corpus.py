@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-OFFSET_BLOCK = 64
+from ..functions.text import bound, running_starts
+
+OFFSET_BLOCK = 16
 
 # Sentence end, the mark that joins the token lines of a
 # sentence, and the lines that carry no token.
@@ -38,13 +40,9 @@ def parse_conll(parse: Column) -> Column:
     """
     rows = F.transform(F.split(parse, TOKEN_MARK), lambda line: F.split(line, "\t"))
 
-    def tokens(rs: Column, forms: Column, marks: Column) -> Column:
+    def tokens(rs: Column, starts: Column) -> Column:
         def token(r: Column, i: Column) -> Column:
-            block = F.floor(i / OFFSET_BLOCK).cast("int")
-            inside = i - block * OFFSET_BLOCK
-            # where the block begins, and the tokens of the block before this one
-            before = F.array_join(F.slice(forms, block * OFFSET_BLOCK + 1, inside), " ")
-            begin = F.get(marks, block) + F.when(inside == 0, 0).otherwise(F.length(before) + 1)
+            begin = F.get(starts, i)
             return F.struct(
                 r[3].try_cast("int").alias("id"),
                 begin.alias("begin"),
@@ -59,16 +57,8 @@ def parse_conll(parse: Column) -> Column:
         return F.transform(rs, token)
 
     def with_offsets(rs: Column, forms: Column) -> Column:
-        # places at which blocks of tokens begin, so that no token has to
-        # measure all the text before it
-        blocks = F.sequence(F.lit(0), F.floor((F.size(forms) - 1) / OFFSET_BLOCK).cast("int"))
-        marks = F.transform(
-            blocks,
-            lambda b: F.when(b == 0, 0).otherwise(
-                F.length(F.array_join(F.slice(forms, 1, b * OFFSET_BLOCK), " ")) + 1
-            ),
-        )
-        return F.transform(F.array(marks), lambda ms: tokens(rs, forms, ms))[0]
+        # before a token stand the others and a blank behind each
+        return bound(running_starts(F.transform(forms, lambda f: F.length(f) + 1), OFFSET_BLOCK), lambda starts: tokens(rs, starts))
 
     def annotated(rs: Column) -> Column:
         whole = F.forall(rs, lambda r: F.size(r) == 6)

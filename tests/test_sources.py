@@ -175,3 +175,14 @@ def test_sorted_export(spark, tmp_path):
     assert read == sorted(tuple(r) for r in graph.collect())
     assert sorted(tuple(r) for r in tables.read_dictionary(spark, names).collect()) == [(i, f"p{i}") for i in range(30)]
     assert ordered.numbered_records(spark, where).orderBy("line_no").first().value == "\t".join(map(str, read[0]))
+
+
+def test_conll_places_of_long_sentences(spark):
+    """Places run on over blocks of tokens, by sums of lengths: the text is joined once, not again before each token."""
+    words = [("w" * (1 + i % 7), i) for i in range(150)]
+    parse = corpus.TOKEN_MARK.join("\t".join([w, w, "NN", str(i + 1), "0", "dep"]) for w, i in words)
+    df = spark.createDataFrame([(1, parse), (2, parse.replace("NN\t3\t", "NN\t"))], "sid int, parse string")
+    got = {r.sid: r for r in corpus.conll_parses(df).collect()}
+    assert got[2].text is None and got[2].tokens is None
+    assert [got[1].text[t.begin : t.end] for t in got[1].tokens] == [w for w, _ in words]
+    assert corpus.conll_parses(df)._jdf.queryExecution().analyzed().toString().count("array_join") == 1
