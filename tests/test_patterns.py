@@ -6,6 +6,7 @@ from collections import Counter
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pairspace.operators.annotate import TOKEN_SCHEMA, annotate, dedup_sentences, rule_annotate, sentence_spans, span_annotate, split_sentences
 from pairspace.operators.pairs import filter_thesaurus, noun_pairs, subcorpus
@@ -262,6 +263,15 @@ def test_user_annotator(spark):
     assert rows(noun_pairs(df)) == [(1, "b", "a")]
 
 
+def test_noun_pairs_keep_their_parts(spark):
+    """Blocks of nouns are small beside their pairs: they are not put together into few tasks."""
+    token = T.StructType([T.StructField(c, T.StringType()) for c in ("lemma", "pos")])
+    schema = T.StructType([T.StructField("sid", T.LongType()), T.StructField("tokens", T.ArrayType(token))])
+    pairs = noun_pairs(spark.createDataFrame([(i, [("a", "NN"), ("b", "NN")]) for i in range(200)], schema))
+    assert pairs.count() == 200
+    assert pairs.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_noun_pairs_and_subcorpus(spark):
     many = [(i, f"w{i}", f"w{i}", "NN", 0, "ROOT") for i in range(1, 601)]
     parses = spark.createDataFrame([(1, text_of(DOG), DOG), (2, "long", many)], PARSES)
