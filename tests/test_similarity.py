@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pairspace.operators import similarity
-from pairspace.operators.similarity import candidate_pairs, cosine_distances, equal_vectors, indexed_entries, similar_pairs
+from pairspace.operators.similarity import candidate_pairs, cosine_distances, equal_vectors, indexed_entries, matrix_stats, similar_pairs
 from pairspace.plans.skew import shared_group_pairs
 
 
@@ -107,3 +107,11 @@ def test_pairs_are_formed_after_the_shuffle(spark):
     plan = candidate_pairs(df)._jdf.queryExecution().executedPlan().toString()
     top = plan.split("Generate explode(arrays_zip")[0]
     assert "Generate explode(arrays_zip" in plan and "Exchange" not in top
+
+
+def test_matrix_stats_counts_each_column_by_itself(spark):
+    df = spark.createDataFrame([(1, 5, 1.0), (1, 6, 2.0), (2, 5, 1.0), (None, 7, 1.0), (2, None, 1.0)], "id long, idx int, value double")
+    stats = matrix_stats(df, cosine_distances(df, skip_value=None))
+    assert "Expand" not in stats._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in stats.collect()] == [(3, 2, 3)]
+    assert [tuple(r) for r in matrix_stats(df.limit(0), cosine_distances(df.limit(0))).collect()] == [(0, 0, 0)]
