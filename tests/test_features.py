@@ -171,3 +171,24 @@ def test_one_pass_four_outputs(spark):
         assert stored[name].columns == single(df).columns and rows(stored[name]) == rows(single(df))
     none, counters = counts.store_frequencies(df.limit(0))
     assert counters["features"] == 0 and all(t.isEmpty() for t in none.values())
+
+
+@pytest.mark.parametrize("chunk", [1, 1000])
+def test_frequencies_with_their_sets(spark, chunk):
+    given = [*FEATURES, ("dog", None, "X chased Y", "s9"), ("dog", "cat", None, None), (None, None, None, "s1")]
+    df = spark.createDataFrame(given, "noun1 string, noun2 string, pattern string, sentence string")
+    for made, keys, n, name, plain in (
+        (counts.pair_frequencies(df, sets=True, chunk=chunk), ["noun1", "noun2"], "num_patterns", "patterns", counts.pair_frequencies(df)),
+        (counts.pattern_frequencies(df, sets=True, chunk=chunk), ["pattern"], "num_pairs", "pairs", counts.pattern_frequencies(df)),
+    ):
+        assert made.columns == [*keys, "freq", n, "part", name]
+        found = {}
+        for r in made.collect():
+            assert len(r[name]) >= 1 or r[n] == 0
+            found.setdefault((*[r[k] for k in keys], r.freq, r[n]), []).extend(tuple(m) if name == "pairs" else m for m in r[name])
+        assert sorted(found, key=repr) == rows(plain)
+        key = [0, 1] if name == "patterns" else [2]
+        for group, members in found.items():
+            same = [g for g in given if [g[i] for i in key] == list(group[: len(keys)])]
+            want = {g[2] for g in same if g[2] is not None} if name == "patterns" else {g[:2] for g in same}
+            assert sorted(members, key=repr) == sorted(want, key=repr) and len(same) == group[-2] and len(want) == group[-1]
