@@ -56,7 +56,7 @@ def mine(
         found = sentence_patterns(parses, max_tokens=max_tokens)
     else:
         wanted = filter_thesaurus(thesaurus, top_expansions).selectExpr("target as noun1", "expansion as noun2")
-        found = subtree_patterns(subcorpus(parses, wanted), max_tokens=max_tokens)
+        found = subtree_patterns(subcorpus(parses, wanted, counted=True), max_tokens=max_tokens)
     features = materialise(found, "features")
     jobim = materialise(jobim_rotate(features), "jobim")
     flipped = jobim.selectExpr("bim as jo", "jo as bim", "cnt")

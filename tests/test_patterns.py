@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pairspace.operators.annotate import TOKEN_SCHEMA, annotate, dedup_sentences, rule_annotate, sentence_spans, span_annotate, split_sentences
-from pairspace.operators.pairs import filter_thesaurus, noun_pairs, subcorpus
+from pairspace.operators.pairs import filter_thesaurus, noun_pairs, pair_sentences, subcorpus, subcorpus_pairs
 from pairspace.operators.patterns import (
     entity_head,
     sentence_patterns,
@@ -17,6 +17,7 @@ from pairspace.operators.patterns import (
     span_patterns,
     subtree_patterns,
 )
+from pairspace.plans.storage import materialise_by
 
 PARSES = "sid long, text string, tokens " + TOKEN_SCHEMA
 PAIRED = "noun1 string, noun2 string, " + PARSES
@@ -282,6 +283,48 @@ def test_noun_pairs_and_subcorpus(spark):
     assert rows(subcorpus(parses, wanted), "noun1", "noun2", "sid") == [("dog", "cat", 1), ("w1", "w600", 2)]
 
 
+def _drawn(spark, seed=3):
+    """Sentences of few nouns and one long one, a sentence without id, and wanted pairs, one of them twice."""
+    rng = random.Random(seed)
+    texts = [" ".join(rng.choice(["ox", "cow", "hen", "of", "the", "is", "dogs"]) for _ in range(n)) for n in [2, 5, 7, 7, 8, 9, 60]] + ["ox is the cow", "cow ox is"]
+    parses = rule_annotate(spark.createDataFrame([*enumerate(texts), (None, "ox of hen")], "sid long, text string"))
+    pairs = [("ox", "cow"), ("cow", "ox"), ("hen", "hen"), ("dog", "ox"), ("dog", "ox"), (None, "ox"), ("ox", "absent")]
+    return parses, spark.createDataFrame(pairs, "noun1 string, noun2 string")
+
+
+def test_counted_pairs(spark):
+    parses, wanted = _drawn(spark)
+    every = noun_pairs(parses.filter("sid is not null")).join(wanted, ["noun1", "noun2"]).select("sid", "noun1", "noun2")
+    assert rows(subcorpus_pairs(parses, wanted)) == rows(every)
+    # a pair that is wanted twice comes twice
+    counted = subcorpus_pairs(parses, wanted, counted=True)
+    told = Counter()
+    for r in counted.collect():
+        told[r.sid, r.noun1, r.noun2] += r.times
+    assert told == Counter(tuple(r) for r in every.collect()) and max(told.values()) > 20
+    assert counted.count() < sum(told.values()) / 5
+
+
+def test_patterns_of_a_counted_corpus(spark):
+    parses, wanted = _drawn(spark)
+    plain, counted = subcorpus(parses, wanted), subcorpus(parses, wanted, counted=True)
+    for made in (subtree_patterns, shortest_path_patterns, span_patterns):
+        assert rows(made(counted)) == rows(made(plain)) and made(plain).count() > 0
+    assert rows(pair_sentences(counted).groupBy("noun1", "noun2", "text").agg(F.sum("times"))) == rows(pair_sentences(plain).groupBy("noun1", "noun2", "text").count())
+
+
+def test_parses_stored_by_sentence_are_not_shuffled(spark):
+    parses, wanted = _drawn(spark)
+    stored = materialise_by(parses, "parses", "sid")
+    assert rows(stored.select("sid", "text")) == rows(parses.select("sid", "text")) and stored.columns == parses.columns
+    corpus = subcorpus(stored, wanted, counted=True)
+    plan = corpus._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "tokens" in line]
+    joined = stored.hint("merge").join(spark.range(20).withColumnRenamed("id", "sid"), "sid")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in joined and "Bucketed: true" in joined
+    assert rows(corpus.select("sid", "noun1", "noun2", "times")) == rows(subcorpus(parses, wanted, counted=True).select("sid", "noun1", "noun2", "times"))
+
+
 def test_thesaurus_filter(spark):
     df = spark.createDataFrame(
         [
