@@ -283,6 +283,19 @@ def test_noun_pairs_and_subcorpus(spark):
     assert rows(subcorpus(parses, wanted), "noun1", "noun2", "sid") == [("dog", "cat", 1), ("w1", "w600", 2)]
 
 
+def test_noun_pairs_dealt_by_the_first(spark):
+    """A sentence goes to the parts of its nouns; pairs are not shuffled, whatever is grouped by part and first noun."""
+    rng = random.Random(7)
+    sizes = [0, 1, 2, 3, 5, 8, 40]
+    made = [(i, " ", [(k, "w", rng.choice(["Ox", "ox", "cow", "hen", "w", None]), rng.choice(["NN", "NNS", "DT"]), 0, "ROOT") for k in range(n)]) for i, n in enumerate(sizes)]
+    parses = spark.createDataFrame([*made, (None, " ", made[-1][2]), (9, " ", None)], PARSES)
+    pairs = noun_pairs(parses, by_first=True)
+    assert rows(pairs, "sid", "noun1", "noun2") == rows(noun_pairs(parses)) and pairs.count() > 100
+    told = pairs.groupBy("part", "noun1", "noun2").agg(F.count("*").alias("n")).groupBy("part", "noun1").agg(F.sum("n"), F.count("*"))
+    assert rows(told.drop("part")) == rows(noun_pairs(parses).groupBy("noun1", "noun2").agg(F.count("*").alias("n")).groupBy("noun1").agg(F.sum("n"), F.count("*")))
+    assert told._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
 def _drawn(spark, seed=3):
     """Sentences of few nouns and one long one, a sentence without id, and wanted pairs, one of them twice."""
     rng = random.Random(seed)
