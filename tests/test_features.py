@@ -192,3 +192,15 @@ def test_frequencies_with_their_sets(spark, chunk):
             same = [g for g in given if [g[i] for i in key] == list(group[: len(keys)])]
             want = {g[2] for g in same if g[2] is not None} if name == "patterns" else {g[:2] for g in same}
             assert sorted(members, key=repr) == sorted(want, key=repr) and len(same) == group[-2] and len(want) == group[-1]
+
+
+def test_rotated_views_are_shuffled_only_where_they_can_be_alike(spark):
+    plain = spark.createDataFrame([("a", "b", "X of Y")] * 3 + [("b", "a", "X of Y"), ("a", "a", "X Y z")], "noun1 string, noun2 string, pattern string")
+    for flipped in (False, True):
+        made = association.jobim_rotate(plain, flipped)
+        assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+        assert made.count() == 18 == made.select("jo", "bim").distinct().count() and made.agg({"cnt": "sum"}).first()[0] == 30
+    # the inverse of one is the other
+    odd = spark.createDataFrame([("a", "b", "X^-1"), ("b", "a", "X"), ("b", "a", "X")], "noun1 string, noun2 string, pattern string")
+    alike = association.jobim_rotate(odd).filter("jo = 'X^-1' and bim = 'a::@::b'")
+    assert rows(alike) == [("X^-1", "a::@::b", 3.0)]
