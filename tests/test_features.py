@@ -204,3 +204,18 @@ def test_rotated_views_are_shuffled_only_where_they_can_be_alike(spark):
     odd = spark.createDataFrame([("a", "b", "X^-1"), ("b", "a", "X"), ("b", "a", "X")], "noun1 string, noun2 string, pattern string")
     alike = association.jobim_rotate(odd).filter("jo = 'X^-1' and bim = 'a::@::b'")
     assert rows(alike) == [("X^-1", "a::@::b", 3.0)]
+
+
+@pytest.mark.parametrize("hot_rows", [3, 2_000_000])
+def test_scores_of_hot_patterns(spark, hot_rows):
+    rng = random.Random(9)
+    given = [(rng.choice("abcde"), rng.choice("abcde"), rng.choice(["X of Y"] * 4 + ["X and Y", "Y for X", "X c Y"])) for _ in range(150)]
+    df = spark.createDataFrame(given, "noun1 string, noun2 string, pattern string")
+    want = association.association_scores(association.jobim_rotate(df))
+    got = association.feature_scores(df, hot_rows=hot_rows)
+    planned = got._jdf.queryExecution().executedPlan().toString()
+    shown = [sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in t.collect()) for t in (want, got)]
+    assert shown[0] == shown[1] and len(shown[0]) > 100
+    # rows travel by pattern and by pair; before they were joined to five sums
+    if hot_rows > 150:
+        assert planned.count("Exchange hashpartitioning") <= 2
